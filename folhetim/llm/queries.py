@@ -7,8 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folhetim.llm import canonical, descan, nearcopies, overlap
-from folhetim.llm.spread import spread
+from folhetim.llm import canonical, descan, mixing, nearcopies, overlap, packing
+from folhetim.llm.spread import spread, written
+from folhetim.llm.tokens import with_tokens
 from folhetim.llm.wordsets import bags
 from folhetim.session import table
 
@@ -93,5 +94,36 @@ def p7_canonical(spark: SparkSession, d: str) -> DataFrame:
     return canonical.canonical(both[0].union(both[1]), "texto", "forma").select("sentenca_id", "forma").distinct()
 
 
+# ---- p8
+
+
+def sized_documents(spark: SparkSession, d: str) -> DataFrame:
+    return with_tokens(spread(table(spark, d, "documents").select("doc_id", "source", "text"))).drop("text")
+
+
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    parts = packing.pack(sized_documents(spark, d), "doc_id")
+    return parts.where("partes > 1").select("doc_id").distinct()
+
+
+def p8_containers(spark: SparkSession, d: str) -> DataFrame:
+    return packing.pack(sized_documents(spark, d), "doc_id")
+
+
+# ---- p9
+
+
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    return mixing.unreachable(mixing.source_totals(sized_documents(spark, d), table(spark, d, "mistura_alvo")))
+
+
+def p9_shares(spark: SparkSession, d: str) -> DataFrame:
+    return mixing.shares(mixing.source_totals(sized_documents(spark, d), table(spark, d, "mistura_alvo")))
+
+
+def p9_mix(spark: SparkSession, d: str) -> DataFrame:
+    return mixing.mix(written(sized_documents(spark, d)), table(spark, d, "mistura_alvo"), "doc_id")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in globals().items() if k[0] == "p" and k[1:2].isdigit() and callable(f)}
