@@ -21,11 +21,10 @@ from difflib import SequenceMatcher
 from functools import lru_cache
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from folhetim.llm.canonical import AFFECTED, canonical_text
-from folhetim.llm.spread import written
 
 # What is read (right) for what is printed (left), one character or a pair.
 CONFUSIONS = {
@@ -84,16 +83,28 @@ def same_header(f: str, header: dict[str, str]) -> str | None:
 # ---- vocabulary and corrections
 
 
-@lru_cache(1)
-def _skeleton_rules() -> tuple[dict[int, str], list[tuple[str, str]]]:
-    single = {"0": "o", "1": "l", "!": "l", "|": "l", "i": "l", "5": "s", "6": "b", "9": "g", "q": "g", "@": "a", "€": "e", "†": "t", "¢": "ç", "ä": "ã", "ö": "õ", "2": "z"}
-    wide = {"u": "ll", "h": "ll", "d": "cl", "m": "ln", "w": "vv", "r": "l"}
-    return str.maketrans(single | wide), []
+# Characters that count as one, and those that count as two.
+ALIKE = ("01!|i5b69q@€†¢äö2r", "olllls66ggaetçãõzl")
+WIDE = (("u", "ll"), ("h", "ll"), ("d", "cl"), ("m", "ln"), ("w", "vv"), ("nl", "ln"))
 
 
 def skeleton(word: str) -> str:
     """A key that is equal for all spellings that CONFUSIONS turn into each other."""
-    return word.translate(_skeleton_rules()[0]).replace("nl", "ln")
+    out = word.translate(SINGLE)
+    for a, b in WIDE:
+        out = out.replace(a, b)
+    return out
+
+
+def skeleton_column(word: Column) -> Column:
+    """``skeleton`` in the JVM."""
+    out = F.translate(word, *ALIKE)
+    for a, b in WIDE:
+        out = F.replace(out, F.lit(a), F.lit(b))
+    return out
+
+
+SINGLE = str.maketrans(*ALIKE)
 
 
 def misread_of(seen: str, meant: str) -> bool:
@@ -123,7 +134,7 @@ def _count_words(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             if (w := core(token)) and LETTERS_RE.search(w) and len(w) > 1:
                 words[w] += n
         counts.clear()
-        return pd.DataFrame({"palavra": list(words), "chave": [skeleton(w.replace("-", "")) for w in words], "n": list(words.values())})
+        return pd.DataFrame({"palavra": list(words), "n": list(words.values())})
 
     for b in batches:
         for t in b.iloc[:, 0]:
@@ -135,9 +146,8 @@ def _count_words(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def vocabulary(texts: DataFrame) -> DataFrame:
-    """All words of a one-column frame of texts, in lower case: ``palavra, chave`` (its skeleton) ``, n``."""
-    part = texts.mapInPandas(_count_words, "palavra string, chave string, n long")
-    return part.groupBy("palavra", "chave").agg(F.sum("n").alias("n"))
+    """All words of a one-column frame of texts, in lower case: ``palavra, n``."""
+    return texts.mapInPandas(_count_words, "palavra string, n long").groupBy("palavra").agg(F.sum("n").alias("n"))
 
 
 def _confirm(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -153,7 +163,8 @@ def corrections(words: DataFrame) -> DataFrame:
     order on a tie); others are corrected if they are rarer by TIMES and differ by confusions alone.
     """
     right = F.when(F.col("palavra").rlike(r"^[\p{L}µ]+(-[\p{L}]+)*$") & (F.col("n") >= LEAST), F.struct("n", F.col("palavra").alias("w")))
-    groups = words.groupBy("chave").agg(F.max(right).alias("alvo"), F.collect_list(F.struct("palavra", "n")).alias("formas"), F.count("*").alias("q"))
+    keyed = words.withColumn("chave", F.xxhash64(skeleton_column(F.replace("palavra", F.lit("-"), F.lit("")))))
+    groups = keyed.groupBy("chave").agg(F.max(right).alias("alvo"), F.collect_list(F.struct("palavra", "n")).alias("formas"), F.count("*").alias("q"))
     unhyphened = F.struct(F.replace("alvo.w", F.lit("-"), F.lit("")).alias("palavra"), F.lit(0).cast("long").alias("n"))
     forms = F.when(F.col("alvo.w").contains("-"), F.array_append("formas", unhyphened)).otherwise(F.col("formas"))
     seen = groups.where("alvo is not null and (q > 1 or alvo.w like '%-%')").select(F.explode(forms).alias("f"), "alvo")
@@ -289,8 +300,7 @@ class Damage:
     def __init__(self, units: DataFrame, other_texts: DataFrame | None = None) -> None:
         """``units``: ``relatorio, pagina, chave, texto``; ``other_texts``: more texts for the vocabulary."""
         texts = units.select("texto") if other_texts is None else units.select("texto").union(other_texts)
-        self.words = written(vocabulary(texts.where("texto is not null")))
-        self.lexicon = corrections(self.words)
+        self.lexicon = corrections(vocabulary(texts.where("texto is not null")))
         self.headers = headers(units.where("texto is not null"))
 
     def words_to_fix(self) -> dict[str, str] | None:

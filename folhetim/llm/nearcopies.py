@@ -23,7 +23,6 @@ from pyspark.sql import functions as F
 from folhetim.llm.components import components
 from folhetim.llm.spread import written
 from folhetim.llm.wordsets import linked
-from folhetim.session import checkpointed
 
 PERMUTATIONS, ROWS = 24, 3
 PAIRED = 50
@@ -72,24 +71,30 @@ def verified(pairs: DataFrame, nodes: DataFrame, share: float) -> DataFrame:
     return pairs.join(wa, "a").join(wb, "b").where(linked(share=share)).select("a", "b")
 
 
+#: What a pair must meet: lengths that allow the share, and word maps that differ in no more bits than
+#: linked bags have words apart. Both follow from the definition of a link, so no link is lost.
+POSSIBLE = "least(x.n, y.n) * 1000 >= greatest(x.n, y.n) * {t} and bit_count(x.mapa ^ y.mapa) <= x.n + y.n - 2 * ceil(greatest(x.n, y.n) * {t} / 1000)"
+
+
 def bucket_links(members: DataFrame, nodes: DataFrame, share: float, paired: int = PAIRED, worth: str = "true") -> DataFrame:
     """``a, b``: exact links between nodes of one bucket, enough of them for the components.
 
     ``members``: ``faixa, no`` and what ``worth`` needs, a condition on a pair of members ``x`` and ``y``
-    that leaves out pairs that can't be linked or aren't needed.
+    that leaves out pairs that can't be linked or aren't needed. ``nodes``: ``no, n, mapa, palavras``.
     """
     sizes = members.groupBy("faixa").agg(F.count("*").alias("q"), F.min("no").alias("primeiro")).where("q > 1")
-    shared = checkpointed(members.join(sizes, "faixa"))
+    shared = written(members.join(sizes, "faixa").join(nodes.select("no", *[c for c in ("n", "mapa") if c not in members.columns]), "no"))
+    possible = f"{POSSIBLE.format(t=round(share * 1000))} and ({worth})"
     small = shared.where(F.col("q") <= paired).drop("q", "primeiro")
-    pairs = small.alias("x").join(small.alias("y"), F.expr(f"x.faixa = y.faixa and x.no < y.no and ({worth})")).select(F.col("x.no").alias("a"), F.col("y.no").alias("b")).distinct()
+    pairs = small.alias("x").join(small.alias("y"), F.expr(f"x.faixa = y.faixa and x.no < y.no and {possible}")).select(F.col("x.no").alias("a"), F.col("y.no").alias("b")).distinct()
     links = verified(pairs, nodes, share)
     large = shared.where(F.col("q") > paired).drop("q")
     if large.isEmpty():
         return links
     others = large.where("no <> primeiro")
-    to_first = checkpointed(verified(others.select(F.col("primeiro").alias("a"), F.col("no").alias("b")).distinct(), nodes, share))
+    to_first = written(verified(others.select(F.col("primeiro").alias("a"), F.col("no").alias("b")).distinct(), nodes, share))
     loose = others.join(to_first, (F.col("primeiro") == F.col("a")) & (F.col("no") == F.col("b")), "left_anti").drop("primeiro")
-    rest = loose.alias("x").join(large.alias("y"), F.expr(f"x.faixa = y.faixa and x.no <> y.no and ({worth})"))
+    rest = loose.alias("x").join(large.alias("y"), F.expr(f"x.faixa = y.faixa and x.no <> y.no and {possible}"))
     rest = rest.select(F.least("x.no", "y.no").alias("a"), F.greatest("x.no", "y.no").alias("b")).distinct()
     return links.union(to_first).union(verified(rest, nodes, share))
 
@@ -100,12 +105,17 @@ def copy_links(nodes: DataFrame, share: float = 0.8, paired: int = PAIRED) -> Da
 
 
 def nodes_of(records: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """One node for each different bag, ``no, palavras``; and the records' nodes, ``chave, no``."""
-    records = written(records)
-    per = records.groupBy("impressao").agg(F.first("palavras").alias("palavras"))
-    nodes = written(per.withColumn("no", F.monotonically_increasing_id()))
-    member = records.select("chave", "impressao").distinct().join(nodes.select("impressao", "no"), "impressao").select("chave", "no")
-    return nodes.select("no", "palavras"), checkpointed(member)
+    """One node for each different bag, ``no, n, mapa, palavras``; and the records' nodes, ``chave, no``.
+
+    A bag's node is one of its rows. The rows of bags that came again are few, or few bags have many:
+    they are told apart by their numbers alone, and the words are not moved for it.
+    """
+    rows = written(records.withColumn("no", F.monotonically_increasing_id()))
+    first = rows.groupBy("impressao").agg(F.min("no").alias("primeiro"), F.count("*").alias("q"))
+    again = written(rows.select("no", "chave", "impressao").join(first.where("q > 1"), "impressao").select("no", "chave", "primeiro"))
+    nodes = rows.join(again.where("no <> primeiro").select("no"), "no", "left_anti").select("no", "n", "mapa", "palavras")
+    member = rows.select("chave", "no").join(again.select("no", "primeiro"), "no", "left").select("chave", F.coalesce("primeiro", "no").alias("no")).distinct()
+    return nodes, written(member)
 
 
 def same_key_links(member: DataFrame) -> DataFrame:

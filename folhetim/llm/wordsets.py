@@ -65,10 +65,11 @@ class Hasher:
 
 
 def bags(units: DataFrame, damage: Damage, least: int) -> DataFrame:
-    """``chave, impressao binary, palavras array<long>`` of the units whose repaired text has ``least`` words or more.
+    """``chave, impressao binary, n, mapa, palavras array<long>`` of the units whose repaired text has ``least`` words or more.
 
     ``units``: ``relatorio, pagina, chave, texto``. Null texts and shorter ones have no row.
-    ``impressao`` is 128 bits of the bag: equal for equal bags.
+    ``impressao`` is 128 bits of the bag: equal for equal bags. ``n`` is its number of words, ``mapa`` a
+    map of 64 bits with the bit of each word's hash set.
     """
     spark = units.sparkSession
     fixes = damage.words_to_fix()
@@ -86,17 +87,21 @@ def bags(units: DataFrame, damage: Damage, least: int) -> DataFrame:
         lexicon = shared.value if shared is not None else {}
         hasher = Hasher()
         for b in batches:
-            keys, prints, found = [], [], []
+            keys, prints, maps, found = [], [], [], []
             for key, text, page, last, header, own in zip(b["chave"], b["texto"], b["pagina"], b["ultima_pagina"], b["cabecalhos"], b["correcoes"]):
                 clean, _ = repair(text, None if page != page else page, None if last != last else last, header_dict(header), lexicon if own is None else dict(own))
                 bag = hasher.bag(clean)
                 if len(bag) >= least:
                     keys.append(key)
                     prints.append(xxhash.xxh3_128_digest(repr(bag)))
+                    bits = 0
+                    for h in bag:
+                        bits |= 1 << (h & 63)
+                    maps.append(signed(bits))
                     found.append(bag)
-            yield pd.DataFrame({"chave": keys, "impressao": prints, "palavras": found})
+            yield pd.DataFrame({"chave": keys, "impressao": prints, "n": [len(x) for x in found], "mapa": maps, "palavras": found})
 
-    return ready.select("chave", "texto", "pagina", "ultima_pagina", "cabecalhos", "correcoes").mapInPandas(run, "chave string, impressao binary, palavras array<long>")
+    return ready.select("chave", "texto", "pagina", "ultima_pagina", "cabecalhos", "correcoes").mapInPandas(run, "chave string, impressao binary, n int, mapa long, palavras array<long>")
 
 
 def linked(a: str = "palavras_a", b: str = "palavras_b", share: float = 0.8) -> F.Column:
