@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from folhetim.operators.packed import unpack_cells
 from folhetim.session import checkpointed
 
-TURNS = 6
+TURNS = 4
 #: z of the 2.5 % quantile.
 Z = -1.959964
 # Status that gives no answer.
@@ -65,24 +65,41 @@ def votes(own: DataFrame, claims: DataFrame) -> DataFrame:
     return mentions.join(own.select("id", "fonte"), "id").join(claims, ["id", "mencao", "fonte"], "left")
 
 
-def decide(cast: DataFrame, weights: DataFrame) -> DataFrame:
-    """``id, mencao, verdade`` by weighted vote: whether it is listed, then its type; null: not to be listed.
+def verdict(sums: Column) -> Column:
+    """The value of weighted votes, ``array<struct<tipo,w>>``: listed or not first, then the type; null: not to be listed.
 
-    An even vote lists the mention; of types with even votes the first in order is taken.
+    An even vote lists the mention; of types with even votes the first by name is taken.
     """
-    sums = cast.join(weights, "fonte").groupBy("id", "mencao", "tipo").agg(F.sum("peso").alias("w"))
-    best = F.max(F.when(F.col("tipo").isNotNull(), F.struct(F.round("w", 9).alias("w"), F.negative(F.crc32("tipo")).alias("d"), "tipo"))).alias("m")
-    yes, no = (F.coalesce(F.sum(F.when(c, F.col("w"))), F.lit(0.0)) for c in (F.col("tipo").isNotNull(), F.col("tipo").isNull()))
-    return sums.groupBy("id", "mencao").agg(best, yes.alias("sim"), no.alias("nao")).select("id", "mencao", F.when(F.round(F.col("sim") - F.col("nao"), 9) >= 0, F.col("m.tipo")).alias("verdade"), "sim", "nao")
+    total = lambda xs: F.aggregate(xs, F.lit(0.0), lambda a, x: a + x["w"])
+    listed, not_listed = F.filter(sums, lambda x: x["tipo"].isNotNull() & (x["w"] > 1e-9)), F.filter(sums, lambda x: x["tipo"].isNull())
+    best = F.array_min(F.transform(listed, lambda x: F.struct(F.negative(F.round(x["w"], 9)).alias("w"), x["tipo"].alias("tipo"))))["tipo"]
+    return F.when(F.round(total(listed) - total(not_listed), 9) >= 0, best)
+
+
+def decide(cast: DataFrame, weights: DataFrame) -> DataFrame:
+    """``id, mencao, somas, verdade`` by weighted vote; ``somas`` has at most a sum per type and one more."""
+    sums = cast.join(weights.select("fonte", "peso"), "fonte").groupBy("id", "mencao", "tipo").agg(F.sum("peso").alias("w"))
+    both = sums.groupBy("id", "mencao").agg(F.sort_array(F.collect_list(F.struct("tipo", "w"))).alias("somas"))
+    return both.withColumn("verdade", verdict(F.col("somas")))
+
 
+def weigh(cast: DataFrame, decided: DataFrame, weights: DataFrame) -> DataFrame:
+    """``fonte, peso, votos, erros``: the sources' weights, 1 on average over the votes.
 
-def weigh(cast: DataFrame, truth: DataFrame) -> DataFrame:
-    """``fonte, peso, votos, erros``: the sources' weights, 1 on average over the votes."""
-    judged = cast.join(truth, ["id", "mencao"])
-    per = judged.groupBy("fonte").agg(F.count("*").alias("votos"), F.sum(F.when(F.col("tipo").eqNullSafe(F.col("verdade")), 0.0).otherwise(1.0)).alias("erros"))
+    A source is judged by the votes of the others, so that no source can confirm itself; mentions that
+    no other source voted on don't count.
+    """
+    judged = cast.join(decided.select("id", "mencao", "somas"), ["id", "mencao"]).join(weights.select("fonte", "peso"), "fonte")
+    without = F.transform("somas", lambda x: F.struct(x["tipo"].alias("tipo"), (x["w"] - F.when(x["tipo"].eqNullSafe(F.col("tipo")), F.col("peso")).otherwise(0.0)).alias("w")))
+    rest = judged.select("fonte", "tipo", without.alias("outras")).where(F.exists("outras", lambda x: x["w"] > 1e-9))
+    wrong = F.when(F.col("tipo").eqNullSafe(verdict(F.col("outras"))), 0.0).otherwise(1.0)
+    per = rest.groupBy("fonte").agg(F.count("*").alias("votos"), F.sum(wrong).alias("erros"))
     raw = per.withColumn("bruto", chi_squared(F.col("votos").cast("double")) / (F.col("erros") + 0.5))
     mean = raw.agg((F.sum(F.col("bruto") * F.col("votos")) / F.sum("votos")).alias("media"))
-    return raw.join(F.broadcast(mean)).select("fonte", (F.col("bruto") / F.col("media")).alias("peso"), "votos", "erros")
+    found = raw.join(F.broadcast(mean)).select("fonte", (F.col("bruto") / F.col("media")).alias("peso"), "votos", "erros")
+    # a source that nobody else can judge keeps the weight it had
+    lone = weights.select("fonte", "peso").join(per.select("fonte"), "fonte", "left_anti")
+    return found.union(lone.select("fonte", "peso", F.lit(0).cast("long"), F.lit(0.0)))
 
 
 def discover(rows: DataFrame, turns: int = TURNS) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
@@ -91,9 +108,8 @@ def discover(rows: DataFrame, turns: int = TURNS) -> tuple[DataFrame, DataFrame,
     cast = checkpointed(votes(own, claims))
     weights = own.select("fonte").distinct().withColumn("peso", F.lit(1.0))
     for _ in range(turns):
-        truth = decide(cast, weights.select("fonte", "peso"))
-        weights = checkpointed(weigh(cast, truth))
-    truth = checkpointed(decide(cast, weights.select("fonte", "peso")))
+        weights = checkpointed(weigh(cast, decide(cast, weights), weights))
+    truth = checkpointed(decide(cast, weights).select("id", "mencao", "verdade"))
     return own, cast, truth, weights
 
 
@@ -115,5 +131,5 @@ def reliability(rows: DataFrame) -> DataFrame:
     """``anotador, votos, erros, acerto, peso``: per annotator, over written and accepted answers."""
     own, _, _, weights = discover(rows)
     names = own.select("fonte", "anotador").distinct()
-    per = weights.join(names, "fonte").groupBy("anotador").agg(F.sum("votos").alias("votos"), F.sum("erros").cast("long").alias("erros"), (F.sum(F.col("peso") * F.col("votos")) / F.sum("votos")).alias("peso"))
-    return per.select("anotador", "votos", "erros", (1 - F.col("erros") / F.col("votos")).alias("acerto"), "peso")
+    per = weights.join(names, "fonte").groupBy("anotador").agg(F.sum("votos").alias("votos"), F.sum("erros").cast("long").alias("erros"), (F.sum(F.col("peso") * F.col("votos")) / F.nullif(F.sum("votos"), F.lit(0))).alias("peso"))
+    return per.select("anotador", "votos", "erros", (1 - F.col("erros") / F.nullif(F.col("votos"), F.lit(0))).alias("acerto"), "peso")

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folhetim.llm import canonical, descan, mixing, nearcopies, overlap, packing
+from folhetim.llm import canonical, consensus, descan, encodings, mixing, nearcopies, overlap, packing, quotas
 from folhetim.llm.spread import spread, written
 from folhetim.llm.tokens import with_tokens
 from folhetim.llm.wordsets import bags
@@ -43,6 +43,21 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
     return nearcopies.pairs_within(record_groups(spark, d), F.col("chave").rlike("_t[0-9]+$"))
 
 
+# ---- p2
+
+
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    return consensus.consensus(table(spark, d, "annotation_tabelas"))
+
+
+def p2_agreement(spark: SparkSession, d: str) -> DataFrame:
+    return consensus.agreement(table(spark, d, "annotation_tabelas"))
+
+
+def p2_reliability(spark: SparkSession, d: str) -> DataFrame:
+    return consensus.reliability(table(spark, d, "annotation_tabelas"))
+
+
 # ---- p4
 
 
@@ -58,6 +73,21 @@ def p4_paragraphs(spark: SparkSession, d: str) -> DataFrame:
     return done.select(F.col("chave").alias("sentenca_id"), F.col("texto_limpo").alias("texto"), F.array_join("defeitos", ",").alias("defeitos")).distinct()
 
 
+# ---- p5
+
+
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    return quotas.short_strata(table(spark, d, "sireva_2014"), table(spark, d, "sampling_log"))
+
+
+def p5_quotas(spark: SparkSession, d: str) -> DataFrame:
+    return quotas.cell_quotas(table(spark, d, "sireva_2014"), table(spark, d, "sampling_log"))
+
+
+def p5_sample(spark: SparkSession, d: str) -> DataFrame:
+    return quotas.sample(table(spark, d, "sireva_2014"), table(spark, d, "sampling_log"))
+
+
 # ---- p6
 
 
@@ -125,5 +155,35 @@ def p9_mix(spark: SparkSession, d: str) -> DataFrame:
     return mixing.mix(written(sized_documents(spark, d)), table(spark, d, "mistura_alvo"), "doc_id")
 
 
+# ---- p10
+
+
+def garbled(spark: SparkSession, d: str) -> DataFrame:
+    return encodings.restored(spread(table(spark, d, "documents").select("doc_id", "text", "lang")))
+
+
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    return garbled(spark, d).select("doc_id").distinct()
+
+
+def p10_restored(spark: SparkSession, d: str) -> DataFrame:
+    return garbled(spark, d).select("doc_id", "restaurado", "cadeias", "perdido")
+
+
+def oracle_sql() -> dict[str, str]:
+    """SQL for the queries that SQL can express on whole tables."""
+    return {
+        "p5_found": """
+            WITH a AS (SELECT relatorio, count(DISTINCT sentenca_id) AS n FROM sireva_2014 WHERE texto IS NOT NULL GROUP BY 1)
+            SELECT DISTINCT s.seed, s.relatorio FROM sampling_log s LEFT JOIN a ON a.relatorio = s.relatorio
+            WHERE coalesce(a.n, 0) < greatest(s.minimo, s.proporcao_alvo * s.n)
+        """,
+        "p7_found": r"""
+            SELECT DISTINCT sentenca_id FROM (SELECT sentenca_id, texto FROM sireva_2014 UNION ALL SELECT sentenca_id, texto FROM sireva_2020)
+            WHERE regexp_matches(texto, '[\x{ad}\x{a0}\x{300}-\x{36f}\x{1680}\x{2000}-\x{200f}\x{2028}-\x{202f}\x{205f}-\x{2064}\x{3000}\x{feff}\x{ff01}-\x{ff5e}ΑΒΕΖΗΙΚΜΝΟΡΤΥΧονικρυА-ЯЅІЈа-яѕіјԁһ]')
+        """.replace("\\\\", "\\"),
+    }
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in globals().items() if k[0] == "p" and k[1:2].isdigit() and callable(f)}
