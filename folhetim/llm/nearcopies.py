@@ -82,6 +82,7 @@ def bucket_links(members: DataFrame, nodes: DataFrame, share: float, paired: int
     ``members``: ``faixa, no`` and what ``worth`` needs, a condition on a pair of members ``x`` and ``y``
     that leaves out pairs that can't be linked or aren't needed. ``nodes``: ``no, n, mapa, palavras``.
     """
+    members = written(members)
     sizes = members.groupBy("faixa").agg(F.count("*").alias("q"), F.min("no").alias("primeiro")).where("q > 1")
     shared = written(members.join(sizes, "faixa").join(nodes.select("no", *[c for c in ("n", "mapa") if c not in members.columns]), "no"))
     possible = f"{POSSIBLE.format(t=round(share * 1000))} and ({worth})"
