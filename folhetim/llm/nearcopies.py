@@ -73,18 +73,19 @@ def verified(pairs: DataFrame, nodes: DataFrame, share: float) -> DataFrame:
 
 #: What a pair must meet: lengths that allow the share, and word maps that differ in no more bits than
 #: linked bags have words apart. Both follow from the definition of a link, so no link is lost.
-POSSIBLE = "least(x.n, y.n) * 1000 >= greatest(x.n, y.n) * {t} and bit_count(x.mapa ^ y.mapa) <= x.n + y.n - 2 * ceil(greatest(x.n, y.n) * {t} / 1000)"
+MAP = ("n", "m0", "m1", "m2", "m3")
+POSSIBLE = "least(x.n, y.n) * 1000 >= greatest(x.n, y.n) * {t} and " + " + ".join(f"bit_count(x.m{k} ^ y.m{k})" for k in range(4)) + " <= x.n + y.n - 2 * ceil(greatest(x.n, y.n) * {t} / 1000)"
 
 
 def bucket_links(members: DataFrame, nodes: DataFrame, share: float, paired: int = PAIRED, worth: str = "true") -> DataFrame:
     """``a, b``: exact links between nodes of one bucket, enough of them for the components.
 
     ``members``: ``faixa, no`` and what ``worth`` needs, a condition on a pair of members ``x`` and ``y``
-    that leaves out pairs that can't be linked or aren't needed. ``nodes``: ``no, n, mapa, palavras``.
+    that leaves out pairs that can't be linked or aren't needed. ``nodes``: ``no, n, m0 to m3, palavras``.
     """
     members = written(members)
     sizes = members.groupBy("faixa").agg(F.count("*").alias("q"), F.min("no").alias("primeiro")).where("q > 1")
-    shared = written(members.join(sizes, "faixa").join(nodes.select("no", *[c for c in ("n", "mapa") if c not in members.columns]), "no"))
+    shared = written(members.join(sizes, "faixa").join(nodes.select("no", *[c for c in MAP if c not in members.columns]), "no"))
     possible = f"{POSSIBLE.format(t=round(share * 1000))} and ({worth})"
     small = shared.where(F.col("q") <= paired).drop("q", "primeiro")
     pairs = small.alias("x").join(small.alias("y"), F.expr(f"x.faixa = y.faixa and x.no < y.no and {possible}")).select(F.col("x.no").alias("a"), F.col("y.no").alias("b")).distinct()
@@ -106,7 +107,7 @@ def copy_links(nodes: DataFrame, share: float = 0.8, paired: int = PAIRED) -> Da
 
 
 def nodes_of(records: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """One node for each different bag, ``no, n, mapa, palavras``; and the records' nodes, ``chave, no``.
+    """One node for each different bag, ``no, n, m0 to m3, palavras``; and the records' nodes, ``chave, no``.
 
     A bag's node is one of its rows. The rows of bags that came again are few, or few bags have many:
     they are told apart by their numbers alone, and the words are not moved for it.
@@ -114,7 +115,7 @@ def nodes_of(records: DataFrame) -> tuple[DataFrame, DataFrame]:
     rows = written(records.withColumn("no", F.monotonically_increasing_id()))
     first = rows.groupBy("impressao").agg(F.min("no").alias("primeiro"), F.count("*").alias("q"))
     again = written(rows.select("no", "chave", "impressao").join(first.where("q > 1"), "impressao").select("no", "chave", "primeiro"))
-    nodes = rows.join(again.where("no <> primeiro").select("no"), "no", "left_anti").select("no", "n", "mapa", "palavras")
+    nodes = rows.join(again.where("no <> primeiro").select("no"), "no", "left_anti").select("no", *MAP, "palavras")
     member = rows.select("chave", "no").join(again.select("no", "primeiro"), "no", "left").select("chave", F.coalesce("primeiro", "no").alias("no")).distinct()
     return nodes, written(member)
 

@@ -65,11 +65,11 @@ class Hasher:
 
 
 def bags(units: DataFrame, damage: Damage, least: int) -> DataFrame:
-    """``chave, impressao binary, n, mapa, palavras array<long>`` of the units whose repaired text has ``least`` words or more.
+    """``chave, impressao binary, n, m0 to m3, palavras array<long>`` of the units whose repaired text has ``least`` words or more.
 
     ``units``: ``relatorio, pagina, chave, texto``. Null texts and shorter ones have no row.
-    ``impressao`` is 128 bits of the bag: equal for equal bags. ``n`` is its number of words, ``mapa`` a
-    map of 64 bits with the bit of each word's hash set.
+    ``impressao`` is 128 bits of the bag: equal for equal bags. ``n`` is its number of words, ``m0`` to
+    ``m3`` a map of 256 bits with the bit of each word's hash set.
     """
     spark = units.sparkSession
     fixes = damage.words_to_fix()
@@ -96,12 +96,12 @@ def bags(units: DataFrame, damage: Damage, least: int) -> DataFrame:
                     prints.append(xxhash.xxh3_128_digest(repr(bag)))
                     bits = 0
                     for h in bag:
-                        bits |= 1 << (h & 63)
-                    maps.append(signed(bits))
+                        bits |= 1 << (h & 255)
+                    maps.append([signed(bits >> k & 0xFFFFFFFFFFFFFFFF) for k in (0, 64, 128, 192)])
                     found.append(bag)
-            yield pd.DataFrame({"chave": keys, "impressao": prints, "n": [len(x) for x in found], "mapa": maps, "palavras": found})
+            yield pd.DataFrame({"chave": keys, "impressao": prints, "n": [len(x) for x in found], **{f"m{k}": [m[k] for m in maps] for k in range(4)}, "palavras": found})
 
-    return ready.select("chave", "texto", "pagina", "ultima_pagina", "cabecalhos", "correcoes").mapInPandas(run, "chave string, impressao binary, n int, mapa long, palavras array<long>")
+    return ready.select("chave", "texto", "pagina", "ultima_pagina", "cabecalhos", "correcoes").mapInPandas(run, "chave string, impressao binary, n int, m0 long, m1 long, m2 long, m3 long, palavras array<long>")
 
 
 def linked(a: str = "palavras_a", b: str = "palavras_b", share: float = 0.8) -> F.Column:
