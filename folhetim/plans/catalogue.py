@@ -227,7 +227,7 @@ o2 AS (SELECT sentenca_id, texto, pos, sum(length(p)) OVER (PARTITION BY sentenc
 @query(f"""WITH {CHARS} SELECT a.sentenca_id, 't' || (row_number() OVER (PARTITION BY a.sentenca_id ORDER BY a.i) - 1) AS id, CAST(f.e - f.n AS INTEGER) AS s, CAST(z.e AS INTEGER) AS e, a.tipo, substring(f.texto, CAST(f.e - f.n + 1 AS BIGINT), CAST(z.e - f.e + f.n AS BIGINT)) AS texto
 FROM sa a JOIN o2 f ON f.sentenca_id = a.sentenca_id AND f.pos = a.i JOIN o2 z ON z.sentenca_id = a.sentenca_id AND z.pos = a.j - 1""")
 def char_spans(spark, d):
-    u = gold_units(spark, d).select("sentenca_id", F.explode(G.char_spans(F.col("bio_tags"), G.token_offsets(F.col("texto")), F.col("texto"))).alias("x"))
+    u = gold_units(spark, d).withColumn("o", G.token_offsets(F.col("texto"))).select("sentenca_id", F.explode(G.char_spans(F.col("bio_tags"), F.col("o"), F.col("texto"))).alias("x"))
     return u.select("sentenca_id", "x.id", "x.s", "x.e", "x.tipo", "x.texto")
 
 
