@@ -79,9 +79,10 @@ class Transducer:
         mapped = f"{BLANKS}{FULL_WIDTH}{''.join(LOOK_ALIKES)}"
         accented = f"[^\\s{INVISIBLE}{ACCENTS}][{INVISIBLE}]*(?:[{ACCENTS}][{INVISIBLE}]*)+"
         self.cluster = re.compile(f"{accented}|[{mapped}]|[{INVISIBLE}]+|[{ACCENTS}]+")
-        #: a run of letters with one of another script that looks like no Latin one: a real foreign word
-        foreign = "".join(c for c in members(SCRIPTS) if c.isalpha() and c not in LOOK_ALIKES)
-        self.foreign = re.compile(f"[^\\W\\d_]*[{foreign}][^\\W\\d_]*")
+        #: letters of other scripts that look like no Latin one: a real foreign word has them
+        self.foreign = re.compile("[" + "".join(c for c in members(SCRIPTS) if c.isalpha() and c not in LOOK_ALIKES) + "]")
+        self.joint = frozenset(members(INVISIBLE) + members(ACCENTS))
+        self.latin = re.compile("[a-zA-ZÀ-ɏ\uff21-\uff3a\uff41-\uff5a]")
         self.alike = re.compile(f"[{''.join(LOOK_ALIKES)}]")
         self.known: dict[str, str] = {}
 
@@ -94,17 +95,26 @@ class Transducer:
                 self.known[cluster] = out
         return out
 
-    def apply(self, text: str) -> str:
-        keep = {}
+    def foreign_words(self, text: str) -> list[tuple[int, int]]:
+        """Where words of another script stand that have look-alikes but no Latin letter."""
+        out, end = [], 0
         for m in self.foreign.finditer(text):
-            if self.alike.search(m.group()) and not re.search("[a-zA-ZÀ-ÿ]", m.group()):
-                keep[m.start()] = m
-        if not keep:
-            return self.cluster.sub(self.output, text)
+            if m.start() >= end:
+                start, end = m.start(), m.end()
+                while start and (text[start - 1].isalpha() or text[start - 1] in self.joint):
+                    start -= 1
+                while end < len(text) and (text[end].isalpha() or text[end] in self.joint):
+                    end += 1
+                word = text[start:end]
+                if self.alike.search(word) and not self.latin.search(word):
+                    out.append((start, end))
+        return out
+
+    def apply(self, text: str) -> str:
         out, at = [], 0
-        for start, m in keep.items():
-            out += [self.cluster.sub(self.output, text[at:start]), m.group()]
-            at = m.end()
+        for start, end in self.foreign_words(text):
+            out += [self.cluster.sub(self.output, text[at:start]), text[start:end]]
+            at = end
         return "".join([*out, self.cluster.sub(self.output, text[at:])])
 
 

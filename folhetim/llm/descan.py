@@ -25,6 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from folhetim.llm.canonical import AFFECTED, canonical_text
+from folhetim.llm.spread import some
 
 # What is read (right) for what is printed (left), one character or a pair.
 CONFUSIONS = {
@@ -141,8 +142,8 @@ def _count_words(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             if t is not None:
                 counts.update(plain(t).split())
         if len(counts) > 500_000:
-            yield out()
-    yield out()
+            yield from some(out())
+    yield from some(out())
 
 
 def vocabulary(texts: DataFrame) -> DataFrame:
@@ -153,7 +154,7 @@ def vocabulary(texts: DataFrame) -> DataFrame:
 def _confirm(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for b in batches:
         keep = [m.replace("-", "") == s if "-" in m and "-" not in s else misread_of(s, m) for s, m in zip(b["palavra"], b["correta"])]
-        yield b[keep]
+        yield from some(b[keep])
 
 
 def corrections(words: DataFrame) -> DataFrame:
@@ -185,7 +186,7 @@ def _edge_lines(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 if len(f) >= HEADER_LETTERS and len(line) < 200 and f not in seen:
                     seen.add(f)
                     rows.append((report, key, f, " ".join(re.findall(r"\d+", line))))
-        yield pd.DataFrame(rows, columns=["relatorio", "chave", "linha", "numeros"])
+        yield from some(pd.DataFrame(rows, columns=["relatorio", "chave", "linha", "numeros"]))
 
 
 def headers(units: DataFrame) -> DataFrame:
@@ -326,7 +327,7 @@ def _words_of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             if text is not None:
                 joined, _ = join_lines(plain(text), None if page != page else page, None if last != last else last, header_dict(header))
                 rows += [(key, w) for w in {core(t) for t in joined.split()}]
-        yield pd.DataFrame(rows, columns=["linha_n", "palavra"])
+        yield from some(pd.DataFrame(rows, columns=["linha_n", "palavra"]))
 
 
 def per_unit_fixes(units: DataFrame, lexicon: DataFrame) -> DataFrame:
@@ -366,7 +367,7 @@ def repaired(units: DataFrame, damage: Damage, broadcast_limit: int | None = Non
                 clean, k = repair(text, None if page != page else page, None if last != last else last, header_dict(header), lexicon if own is None else dict(own))
                 texts.append(clean)
                 kinds.append(sorted(k))
-            yield pd.DataFrame({"chave": b["chave"], "texto": b["texto"], "texto_limpo": texts, "defeitos": kinds})
+            yield from some(pd.DataFrame({"chave": b["chave"], "texto": b["texto"], "texto_limpo": texts, "defeitos": kinds}))
 
     columns = ready.select("chave", "texto", "pagina", "ultima_pagina", "cabecalhos", "correcoes")
     return columns.mapInPandas(run, "chave string, texto string, texto_limpo string, defeitos array<string>")

@@ -22,9 +22,10 @@ from pyspark.sql import functions as F
 
 from folhetim.llm.components import components
 from folhetim.llm.nearcopies import PAIRED, bucket_links, nodes_of, same_key_links
+from folhetim.llm.spread import some
 
 #: So many words are ordered by how often they occur.
-FREQUENT = 100_000
+FREQUENT = 20_000
 EVALUATION, TRAINING = ("validacao", "teste"), "treino"
 #: The length and the position filter, for two members of a word's bucket.
 LONGER = "greatest(x.n, y.n)"
@@ -51,7 +52,7 @@ def prefixes(nodes: DataFrame, frequent: dict[int, int], share: float) -> DataFr
                 first = n + thousandths * -n // 1000 + 1
                 ordered = sorted(bag.tolist(), key=lambda h: (known.get(h, 0), h))
                 rows += [(h, no, n, i + 1, index) for i, h in enumerate(ordered[:first])]
-            yield pd.DataFrame(rows, columns=["faixa", "no", "n", "posicao", "indice"])
+            yield from some(pd.DataFrame(rows, columns=["faixa", "no", "n", "posicao", "indice"]))
 
     return nodes.select("no", "palavras", "indice").mapInPandas(run, "faixa long, no long, n int, posicao int, indice boolean")
 

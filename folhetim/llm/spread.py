@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
 
+import pandas as pd
 from pyspark.sql import DataFrame
 
 from folhetim.session import ensure_checkpoint_dir
@@ -24,3 +26,9 @@ def written(df: DataFrame) -> DataFrame:
     path = f"{ensure_checkpoint_dir(df.sparkSession)}/tabela-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def some(df: pd.DataFrame) -> Iterator[pd.DataFrame]:
+    """``df`` if it has rows: a frame without rows has no types for Arrow to go by."""
+    if len(df):
+        yield df

@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from folhetim.llm.descan import Damage, header_dict, per_unit_fixes, repair, with_headers
+from folhetim.llm.spread import some
 from folhetim.session import checkpointed
 
 #: The memory of hashed tokens is emptied beyond so many.
@@ -99,7 +100,7 @@ def bags(units: DataFrame, damage: Damage, least: int) -> DataFrame:
                         bits |= 1 << (h & 255)
                     maps.append([signed(bits >> k & 0xFFFFFFFFFFFFFFFF) for k in (0, 64, 128, 192)])
                     found.append(bag)
-            yield pd.DataFrame({"chave": keys, "impressao": prints, "n": [len(x) for x in found], **{f"m{k}": [m[k] for m in maps] for k in range(4)}, "palavras": found})
+            yield from some(pd.DataFrame({"chave": keys, "impressao": prints, "n": [len(x) for x in found], **{f"m{k}": [m[k] for m in maps] for k in range(4)}, "palavras": found}))
 
     return ready.select("chave", "texto", "pagina", "ultima_pagina", "cabecalhos", "correcoes").mapInPandas(run, "chave string, impressao binary, n int, m0 long, m1 long, m2 long, m3 long, palavras array<long>")
 
