@@ -56,7 +56,8 @@ def by_model(units: DataFrame, key: str, text: str, annotate: Callable[[list[str
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            yield pd.DataFrame({"chave": b.iloc[:, 0], "resposta": annotate(["" if t is None else t for t in b.iloc[:, 1]])})
+            if len(b):
+                yield pd.DataFrame({"chave": b.iloc[:, 0], "resposta": annotate(["" if t is None else t for t in b.iloc[:, 1]])})
 
     replies = units.select(key, text).mapInPandas(run, f"chave {kind}, resposta string")
     return replies.select(F.col("chave").alias(key), G.parsed_entities(F.col("resposta")).alias("spans"))

@@ -54,7 +54,8 @@ def documents(spark: SparkSession, path: str, extract: Callable[[bytes], list[tu
                     rows += [(name, page, i, text, None) for i, (page, text) in enumerate(extract(content))]
                 except Exception as e:  # noqa: BLE001
                     rows.append((name, 0, 0, None, repr(e)))
-            yield pd.DataFrame(rows, columns=["relatorio", "pagina", "item", "texto", "erro"])
+            if rows:
+                yield pd.DataFrame(rows, columns=["relatorio", "pagina", "item", "texto", "erro"])
 
     files = spark.read.format("binaryFile").load(path).select("path", "content")
     return files.mapInPandas(run, "relatorio string, pagina int, item int, texto string, erro string")
