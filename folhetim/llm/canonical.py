@@ -32,20 +32,20 @@ LOOK_ALIKES = {
 }
 
 #: Characters without width.
-INVISIBLE = "­͏؜ᅟᅠ឴឵᠋-᠏​-‏‪-‮⁠-⁤⁦-⁯︀-️﻿￹-￻"
+INVISIBLE = "\u00ad\u034f\u061c\u115f\u1160\u17b4\u17b5\u180b-\u180f\u200b-\u200f\u202a-\u202e\u2060-\u2064\u2066-\u206f\ufe00-\ufe0f\ufeff\ufff9-\ufffb"
 #: Blanks other than the ordinary space, line breaks and tabs.
-BLANKS = "   -   　"
+BLANKS = "\u00a0\u1680\u2000-\u200a\u202f\u205f\u3000"
 #: Full-width forms of ASCII, and their distance to it.
-FULL_WIDTH, WIDTH_OFFSET = "！-～", 0xFEE0
+FULL_WIDTH, WIDTH_OFFSET = "\uff01-\uff5e", 0xFEE0
 #: Accents as characters of their own.
-ACCENTS = "̀-ͯ᪰-᫿᷀-᷿⃐-⃿︠-︯"
+ACCENTS = "\u0300-\u036f\u1ab0-\u1aff\u1dc0-\u1dff\u20d0-\u20ff\ufe20-\ufe2f"
 #: The scripts whose letters can stand for Latin ones.
-SCRIPTS = "Ͱ-ϿЀ-ԯ԰-֏"
+SCRIPTS = "\u0370-\u03ff\u0400-\u052f\u0530-\u058f"
 
 AFFECTED = f"[{INVISIBLE}{BLANKS}{FULL_WIDTH}{ACCENTS}{''.join(LOOK_ALIKES)}]"
 
 #: A class of few ranges that holds AFFECTED, for the JVM: what is not plain text of these reports.
-COARSE = r"[^\x00-\x9f\xa1-\xac\xae-\u0130\u0132-\u02ff\u03b1-\u03b8\u2013\u2014\u2020\u2022\u20ac\u2264\u2265]"
+COARSE = r"[^\x00-\x9f\xa1-\xac\xae-\u0130\u0132-\u0260\u0262-\u02ff\u03b1-\u03b8\u2013\u2014\u2020\u2022\u20ac\u2264\u2265]"
 
 
 def members(chars: str) -> list[str]:

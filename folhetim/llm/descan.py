@@ -36,7 +36,7 @@ CONFUSIONS = {
 #: Signs that inside a word can only be a misread letter.
 SIGNS = {"@": "a", "€": "e", "†": "t", "¢": "ç"}
 #: Signs that a line end breaks a word with.
-HYPHENS = "-¬~=_–—‐‑­"
+HYPHENS = "-¬~=_–—‐‑\u00ad"
 
 #: A word is a correction's target if it is seen so many times as often as the misread form, and so often at all.
 TIMES, LEAST = 10, 5

@@ -36,7 +36,7 @@ def test_conflicts_are_found():
 
 
 def test_coarse_class_holds_the_mapping(spark):
-    chars = [c for c in C.mapping()] + ["á"]
+    chars = list(C.mapping())
     df = spark.createDataFrame([(f"x{c}y",) for c in chars], "t string")
     assert df.where(~C.is_affected(F.col("t"))).count() == 0
 
