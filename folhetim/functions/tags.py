@@ -94,13 +94,16 @@ def gold_tags(toks: Column, places: Column) -> Column:
 
 
 def tags_of_types(kinds: Column) -> Column:
-    """IOB2 tags of an array of types with nulls: neighbours of one type are one entity."""
+    """IOB2 tags of an array of types with nulls: neighbours of one type are one entity.
 
-    def tag(x: Column, i: Column) -> Column:
-        before = F.when(i > 0, F.try_element_at(kinds, i))
-        return F.when(x.isNull(), F.lit("O")).otherwise(F.concat(F.when(before.eqNullSafe(x), F.lit("I-")).otherwise(F.lit("B-")), x))
+    The types are zipped with themselves one place on, so that they are not worked out anew for every element.
+    """
+    before = F.concat(F.array(F.lit(None).cast("string")), kinds)
+
+    def tag(x: Column, previous: Column) -> Column:
+        return F.when(x.isNull(), F.lit("O")).otherwise(F.concat(F.when(previous.eqNullSafe(x), F.lit("I-")).otherwise(F.lit("B-")), x))
 
-    return F.transform(kinds, tag)
+    return F.slice(F.zip_with(kinds, before, tag), F.lit(1), F.size(kinds))
 
 
 def entity_spans(tags: Column, lenient: bool = False) -> Column:
