@@ -163,14 +163,14 @@ def corrections(words: DataFrame) -> DataFrame:
     Of the words with one skeleton the most frequent made of letters alone is the target (the first in
     order on a tie); others are corrected if they are rarer by TIMES and differ by confusions alone.
     """
-    right = F.when(F.col("palavra").rlike(r"^[\p{L}µ]+(-[\p{L}]+)*$") & (F.col("n") >= LEAST), F.struct("n", F.col("palavra").alias("w")))
     keyed = words.withColumn("chave", F.xxhash64(skeleton_column(F.replace("palavra", F.lit("-"), F.lit("")))))
-    groups = keyed.groupBy("chave").agg(F.max(right).alias("alvo"), F.collect_list(F.struct("palavra", "n")).alias("formas"), F.count("*").alias("q"))
-    unhyphened = F.struct(F.replace("alvo.w", F.lit("-"), F.lit("")).alias("palavra"), F.lit(0).cast("long").alias("n"))
-    forms = F.when(F.col("alvo.w").contains("-"), F.array_append("formas", unhyphened)).otherwise(F.col("formas"))
-    seen = groups.where("alvo is not null and (q > 1 or alvo.w like '%-%')").select(F.explode(forms).alias("f"), "alvo")
-    pairs = seen.where(f"f.n * {TIMES} <= alvo.n and f.palavra <> alvo.w").distinct()
-    return pairs.select("f.palavra", F.col("alvo.w").alias("correta")).mapInPandas(_confirm, "palavra string, correta string")
+    right = keyed.where((F.col("n") >= LEAST) & F.col("palavra").rlike(r"^[\p{L}µ]+(-[\p{L}]+)*$"))
+    targets = right.groupBy("chave").agg(F.max(F.struct("n", F.col("palavra").alias("w"))).alias("alvo"))
+    seen = keyed.join(targets, "chave").where(f"n * {TIMES} <= alvo.n and palavra <> alvo.w").select("palavra", F.col("alvo.w").alias("correta"))
+    compounds = targets.where("alvo.w like '%-%'").select(F.replace("alvo.w", F.lit("-"), F.lit("")).alias("junta"), F.col("alvo.w").alias("correta"), F.col("alvo.n").alias("vezes"))
+    own = words.withColumnRenamed("n", "m")
+    unhyphened = compounds.join(own, (F.col("junta") == F.col("palavra")) & (F.col("m") * TIMES > F.col("vezes")), "left_anti").select(F.col("junta").alias("palavra"), "correta")
+    return seen.union(unhyphened).distinct().mapInPandas(_confirm, "palavra string, correta string")
 
 
 # ---- headers
