@@ -1,6 +1,6 @@
 """Repair of text from scanned pages (problem 4).
 
-Method: running headers are the lines that repeat, fuzzily, over the pages of a report; page numbers are
+Method: running headers are the lines that repeat, fuzzily, in different texts of a report; page numbers are
 lines whose number follows the page sequence; both are taken out, and the lines are joined, words broken
 at a line end by rules over the corpus vocabulary. Misread characters are put right by the same
 vocabulary: a rare word that a known confusion of characters turns into a word of the corpus many times
@@ -21,11 +21,13 @@ from difflib import SequenceMatcher
 from functools import lru_cache
 
 import pandas as pd
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from folhetim.llm.canonical import AFFECTED, canonical_text
 from folhetim.llm.spread import some
+from folhetim.session import checkpointed
 
 # What is read (right) for what is printed (left), one character or a pair.
 CONFUSIONS = {
@@ -42,8 +44,10 @@ HYPHENS = "-¬~=_–—‐‑\u00ad"
 TIMES, LEAST = 10, 5
 #: Corrections are broadcast up to so many; beyond, they are joined.
 BROADCAST_CORRECTIONS = 1_000_000
-#: A header repeats in at least so many units, and in such a share of the units of several lines of its report.
+#: A header repeats in at least so many different texts, and in such a share of the different texts of several lines of its report.
 HEADER_UNITS, HEADER_SHARE, HEADER_LETTERS = 2, 0.05, 10
+#: A text is a copy of others with a line if one in so many of its other lines is theirs too.
+COPY_LINES = 3
 
 ENDS = ".,;:()[]{}\"'“”‘’«»…?*"
 AFFECTED_RE = re.compile(AFFECTED)
@@ -176,35 +180,70 @@ def corrections(words: DataFrame) -> DataFrame:
 # ---- headers
 
 
-def _edge_lines(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _lines(text: str) -> Iterator[tuple[str, str]]:
+    """The lines of a text that may be headers, folded and as they are, each once."""
+    seen = set()
+    for line in text.split("\n"):
+        f = fold(line)
+        if len(f) >= HEADER_LETTERS and len(line) < 200 and f not in seen:
+            seen.add(f)
+            yield f, line
+
+
+def _repeatable(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for b in batches:
+        rows = [(report, f, " ".join(re.findall(r"\d+", line))) for report, text in zip(b["r"], b["texto"]) for f, line in _lines(plain(text))]
+        yield from some(pd.DataFrame(rows, columns=["r", "linha", "numeros"]))
+
+
+def _around(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Hashes of the folded lines of each text (for line ''), or of those besides each of its ``candidatas``."""
     for b in batches:
         rows = []
-        for report, key, text in zip(b["relatorio"], b["chave"], b["texto"]):
-            seen = set()
-            for line in plain(text).split("\n"):
-                f = fold(line)
-                if len(f) >= HEADER_LETTERS and len(line) < 200 and f not in seen:
-                    seen.add(f)
-                    rows.append((report, key, f, " ".join(re.findall(r"\d+", line))))
-        yield from some(pd.DataFrame(rows, columns=["relatorio", "chave", "linha", "numeros"]))
+        for report, text, candidates in zip(b["r"], b["texto"], b["candidatas"]):
+            text = plain(text)
+            own = {f: xxhash.xxh64_intdigest(f) - (1 << 63) for line in text.split("\n") if (f := fold(line))}
+            if candidates is None:
+                rows.append((report, "", list(own.values())))
+            else:
+                candidates = set(candidates)
+                rows += [(report, f, [h for g, h in own.items() if g != f]) for f, _ in _lines(text) if f in candidates]
+        yield from some(pd.DataFrame(rows, columns=["r", "linha", "outras"]))
+
+
+def different(several: DataFrame) -> DataFrame:
+    """``r, linha, n``: of ``r, texto, candidatas`` how many texts each line stands in, where copies count as one.
+
+    A text is a copy, exact or revised, if one in COPY_LINES of its other lines stands beside the line in another text too.
+    """
+    texts = several.mapInPandas(_around, "r string, linha string, outras array<long>").withColumn("g", F.xxhash64("r", "linha")).withColumn("t", F.xxhash64("g", F.array_sort("outras")))
+    beside = texts.select("g", "t", F.explode("outras").alias("h"))
+    again = beside.groupBy("g", "h").agg(F.count("*").alias("vezes")).where("vezes > 1")
+    shared = beside.join(again, ["g", "h"]).groupBy("g", "t").agg(F.countDistinct("h").alias("comuns"))
+    told = texts.join(shared, ["g", "t"], "left").withColumn("copia", F.coalesce("comuns", F.lit(0)) * COPY_LINES >= F.size("outras"))
+    return told.groupBy("r", "linha").agg((F.count_if(~F.col("copia")) + F.max(F.col("copia").cast("int"))).alias("n"))
 
 
 def headers(units: DataFrame) -> DataFrame:
     """``relatorio, cabecalhos array<struct<linha, numeros>>, ultima_pagina``: per report its running headers.
 
     ``units``: ``relatorio, pagina, chave, texto``. A header is a line, folded, that repeats in
-    HEADER_UNITS units and HEADER_SHARE of the report's units of several lines; ``numeros`` are the
-    numbers that belong to it. Repeated deliveries of a unit count once.
+    HEADER_UNITS different texts and HEADER_SHARE of the report's different texts of several lines;
+    ``numeros`` are the numbers that belong to it. It stands at page breaks, which may be anywhere in a
+    text, so what tells it from a line of the text is that the text around it differs: repeated
+    deliveries, copies under other keys and revised copies count once.
     """
-    several = units.where(F.col("texto").contains("\n"))
-    lines = several.select("relatorio", "chave", "texto").mapInPandas(_edge_lines, "relatorio string, chave string, linha string, numeros string")
-    per = lines.groupBy("relatorio", "linha", "numeros").agg(F.countDistinct("chave").alias("n"))
-    kinds = per.groupBy("relatorio", "linha").agg(F.sum("n").alias("n"), F.max(F.struct("n", F.negative(F.length("numeros")).alias("curto"), "numeros")).alias("m"))
-    totals = units.groupBy("relatorio").agg(F.countDistinct(F.when(F.col("texto").contains("\n"), F.col("chave"))).alias("varias"), F.max("pagina").alias("ultima_pagina"))
-    found = kinds.alias("k").join(totals.alias("t"), F.col("k.relatorio").eqNullSafe(F.col("t.relatorio")), "right")
-    keep = (F.col("k.n") >= HEADER_UNITS) & (F.col("k.n") >= HEADER_SHARE * F.col("t.varias"))
-    entry = F.when(keep, F.struct(F.col("k.linha").alias("linha"), F.col("m.numeros").alias("numeros")))
-    return found.groupBy(F.col("t.relatorio").alias("relatorio"), F.col("t.ultima_pagina").alias("ultima_pagina")).agg(F.collect_list(entry).alias("cabecalhos"))
+    report = F.coalesce(F.concat(F.lit("="), "relatorio"), F.lit("")).alias("r")
+    several = units.where(F.col("texto").contains("\n")).select(report, "texto").distinct().repartition(units.sparkSession.sparkContext.defaultParallelism)
+    per = several.mapInPandas(_repeatable, "r string, linha string, numeros string").groupBy("r", "linha", "numeros").agg(F.count("*").alias("n"))
+    kinds = per.groupBy("r", "linha").agg(F.sum("n").alias("vezes"), F.max(F.struct("n", F.negative(F.length("numeros")).alias("curto"), "numeros"))["numeros"].alias("numeros"))
+    whole = different(several.withColumn("candidatas", F.lit(None).cast("array<string>"))).select("r", F.col("n").alias("varias"))
+    enough = lambda n: (F.col(n) >= HEADER_UNITS) & (F.col(n) >= HEADER_SHARE * F.col("varias"))
+    likely = checkpointed(kinds.where(F.col("vezes") >= HEADER_UNITS).join(whole, "r").where(enough("vezes")))
+    around = different(several.join(likely.groupBy("r").agg(F.collect_list("linha").alias("candidatas")), "r"))
+    kept = likely.join(around, ["r", "linha"]).where(enough("n")).groupBy("r").agg(F.collect_list(F.struct("linha", "numeros")).alias("cabecalhos"))
+    last = units.groupBy("relatorio").agg(F.max("pagina").alias("ultima_pagina"))
+    return last.withColumn("r", report).join(kept, "r", "left").select("relatorio", "cabecalhos", "ultima_pagina")
 
 
 # ---- repair of one text
@@ -347,8 +386,6 @@ def repaired(units: DataFrame, damage: Damage, broadcast_limit: int | None = Non
     fixes = None if broadcast_limit == 0 else damage.words_to_fix()
     ready = with_headers(units, damage.headers)
     if fixes is None:
-        from folhetim.session import checkpointed
-
         ready = per_unit_fixes(checkpointed(ready.withColumn("linha_n", F.monotonically_increasing_id())), damage.lexicon)
         shared = None
     else:

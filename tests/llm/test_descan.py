@@ -70,3 +70,24 @@ def test_table(spark):
 def test_empty(spark):
     u = spark.createDataFrame([], SCHEMA)
     assert D.repaired(u, D.Damage(u)).count() == 0
+
+
+def test_copies_make_no_header(spark):
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choice("bcdfgjpvxz") + rng.choice("aeo") for _ in range(4))
+    line = lambda: " ".join(word() for _ in range(6))
+    head = "BOLETIM DA REDE – 2014"
+    base = [(r, k, f"{r}_s{k:04d}", f"{line()}\n{line()}" + f"\n{head}" * (k % 4 == 0) + f"\n{line()}") for r in ("r", "q") for k in range(1, 41)]
+    hot = [line() for _ in range(4)]
+    exact = [("r", k, f"r_s1{k:03d}", "\n".join(hot)) for k in range(60)]
+    revised = []
+    for k in range(200):
+        words = [x.split() for x in hot]
+        for x in rng.sample(words, 2):
+            x[rng.randrange(6)] = word()
+        revised.append(("q", k, f"q_s1{k:03d}", "\n".join(" ".join(x) for x in words)))
+    u = spark.createDataFrame(base + exact + revised, SCHEMA)
+    assert {r["relatorio"]: [h["linha"] for h in r["cabecalhos"]] for r in D.headers(u).collect()} == {"r": [D.fold(head)], "q": [D.fold(head)]}
+    got = {r["chave"]: r for r in D.repaired(u, D.Damage(u)).collect()}
+    assert all(not got[c]["defeitos"] and got[c]["texto_limpo"] == t.replace("\n", " ") for _, _, c, t in exact + revised)
+    assert all(got[c]["defeitos"] == ["cabecalho"] for _, _, c, t in base if head in t)
