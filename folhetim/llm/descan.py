@@ -6,7 +6,8 @@ at a line end by rules over the corpus vocabulary. Misread characters are put ri
 vocabulary: a rare word that a known confusion of characters turns into a word of the corpus many times
 as frequent.
 
-The vocabulary counts all words of all texts, summed before its shuffle. Words and corrections meet by a
+The vocabulary counts all words of all different texts, summed before its shuffle: repeated deliveries
+and exact copies are no further evidence for a spelling. Words and corrections meet by a
 skeleton that all confusable spellings share, an equi-join. The corrections go to the workers as a
 broadcast while they are few (checked), by a join otherwise.
 """
@@ -151,8 +152,8 @@ def _count_words(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def vocabulary(texts: DataFrame) -> DataFrame:
-    """All words of a one-column frame of texts, in lower case: ``palavra, n``."""
-    return texts.mapInPandas(_count_words, "palavra string, n long").groupBy("palavra").agg(F.sum("n").alias("n"))
+    """All words of a one-column frame of texts, in lower case: ``palavra, n``; a repeated text counts once."""
+    return texts.distinct().mapInPandas(_count_words, "palavra string, n long").groupBy("palavra").agg(F.sum("n").alias("n"))
 
 
 def _confirm(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -17,12 +17,12 @@ LEAST_WORDS = 12
 
 
 def text_units(spark: SparkSession, d: str) -> DataFrame:
-    return spread(table(spark, d, "sireva_2014").select("relatorio", "pagina", F.col("sentenca_id").alias("chave"), "texto"))
+    return table(spark, d, "sireva_2014").select("relatorio", "pagina", F.col("sentenca_id").alias("chave"), "texto")
 
 
 def table_units(spark: SparkSession, d: str) -> DataFrame:
     none = F.lit(None)
-    return spread(table(spark, d, "sireva_2020").select(none.cast("string").alias("relatorio"), none.cast("int").alias("pagina"), F.col("sentenca_id").alias("chave"), "texto"))
+    return table(spark, d, "sireva_2020").select(none.cast("string").alias("relatorio"), none.cast("int").alias("pagina"), F.col("sentenca_id").alias("chave"), "texto")
 
 
 # ---- p1
@@ -32,7 +32,7 @@ def record_groups(spark: SparkSession, d: str) -> DataFrame:
     units = text_units(spark, d)
     rows = table_units(spark, d)
     damage = descan.Damage(units, rows.select("texto"))
-    return nearcopies.grouped(bags(units.union(rows), damage, LEAST_WORDS))
+    return nearcopies.grouped(bags(spread(units).union(spread(rows)), damage, LEAST_WORDS))
 
 
 def p1_groups(spark: SparkSession, d: str) -> DataFrame:
@@ -63,13 +63,13 @@ def p2_reliability(spark: SparkSession, d: str) -> DataFrame:
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     units = text_units(spark, d)
-    done = descan.repaired(units, descan.Damage(units))
+    done = descan.repaired(spread(units), descan.Damage(units))
     return done.select(F.col("chave").alias("sentenca_id"), F.explode("defeitos").alias("defeito")).distinct()
 
 
 def p4_paragraphs(spark: SparkSession, d: str) -> DataFrame:
     units = text_units(spark, d)
-    done = descan.repaired(units, descan.Damage(units))
+    done = descan.repaired(spread(units), descan.Damage(units))
     return done.select(F.col("chave").alias("sentenca_id"), F.col("texto_limpo").alias("texto"), F.array_join("defeitos", ",").alias("defeitos")).distinct()
 
 
@@ -95,7 +95,7 @@ def split_overlap(spark: SparkSession, d: str) -> DataFrame:
     units = text_units(spark, d)
     damage = descan.Damage(units)
     assigned = table(spark, d, "particoes").select(F.col("sentenca_id").alias("chave"), "particao")
-    return overlap.cross_split(bags(units, damage, LEAST_WORDS), assigned)
+    return overlap.cross_split(bags(spread(units), damage, LEAST_WORDS), assigned)
 
 
 def p6_found(spark: SparkSession, d: str) -> DataFrame:

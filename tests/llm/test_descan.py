@@ -91,3 +91,11 @@ def test_copies_make_no_header(spark):
     got = {r["chave"]: r for r in D.repaired(u, D.Damage(u)).collect()}
     assert all(not got[c]["defeitos"] and got[c]["texto_limpo"] == t.replace("\n", " ") for _, _, c, t in exact + revised)
     assert all(got[c]["defeitos"] == ["cabecalho"] for _, _, c, t in base if head in t)
+
+
+def test_copies_make_no_word(spark):
+    right = [("r", 3, f"r_s{k:04d}", f"caso {k} da unidade de difusão") for k in range(60)]
+    misread = [("r", 3, f"r_s{k}", "uma unidacle de difiisão") for k in range(1000, 1030) for _ in range(25)]
+    u = spark.createDataFrame(right + misread, SCHEMA)
+    got = {(r["texto_limpo"], *r["defeitos"]) for r in D.repaired(u, D.Damage(u)).collect()}
+    assert got == {(t,) for _, _, _, t in right} | {("uma unidade de difusão", "caractere")}
