@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from folhetim.llm.canonical import AFFECTED, canonical_text
-from folhetim.llm.spread import some
+from folhetim.llm.spread import some, written
 from folhetim.session import checkpointed
 
 # What is read (right) for what is printed (left), one character or a pair.
@@ -217,7 +217,7 @@ def different(several: DataFrame) -> DataFrame:
 
     A text is a copy, exact or revised, if one in COPY_LINES of its other lines stands beside the line in another text too.
     """
-    texts = several.mapInPandas(_around, "r string, linha string, outras array<long>").withColumn("g", F.xxhash64("r", "linha")).withColumn("t", F.xxhash64("g", F.array_sort("outras")))
+    texts = written(several.mapInPandas(_around, "r string, linha string, outras array<long>").withColumn("g", F.xxhash64("r", "linha")).withColumn("t", F.xxhash64("g", F.array_sort("outras"))))
     beside = texts.select("g", "t", F.explode("outras").alias("h"))
     again = beside.groupBy("g", "h").agg(F.count("*").alias("vezes")).where("vezes > 1")
     shared = beside.join(again, ["g", "h"]).groupBy("g", "t").agg(F.countDistinct("h").alias("comuns"))
@@ -235,7 +235,7 @@ def headers(units: DataFrame) -> DataFrame:
     deliveries, copies under other keys and revised copies count once.
     """
     report = F.coalesce(F.concat(F.lit("="), "relatorio"), F.lit("")).alias("r")
-    several = units.where(F.col("texto").contains("\n")).select(report, "texto").distinct().repartition(units.sparkSession.sparkContext.defaultParallelism)
+    several = written(units.where(F.col("texto").contains("\n")).select(report, "texto").distinct().repartition(units.sparkSession.sparkContext.defaultParallelism))
     per = several.mapInPandas(_repeatable, "r string, linha string, numeros string").groupBy("r", "linha", "numeros").agg(F.count("*").alias("n"))
     kinds = per.groupBy("r", "linha").agg(F.sum("n").alias("vezes"), F.max(F.struct("n", F.negative(F.length("numeros")).alias("curto"), "numeros"))["numeros"].alias("numeros"))
     whole = different(several.withColumn("candidatas", F.lit(None).cast("array<string>"))).select("r", F.col("n").alias("varias"))
