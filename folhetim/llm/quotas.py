@@ -41,7 +41,7 @@ def available(units: DataFrame) -> DataFrame:
 def short_strata(units: DataFrame, plan: DataFrame) -> DataFrame:
     """``seed, relatorio`` of the plan's rows that ask for more units than there are, ``minimo`` or ``proporcao_alvo * n``.
 
-    The shortfall of the flow's slack arcs. A report without units has none; null targets ask for nothing.
+    A count joined to the plan, without the flow and its rounded targets. A report without units has none; null targets ask for nothing.
     """
     per = available(units).groupBy(F.col("relatorio").alias("r")).agg(F.count("*").alias("ha"))
     need = F.greatest(F.coalesce(F.col("minimo").cast("double"), F.lit(0.0)), F.coalesce(F.col("proporcao_alvo") * F.col("n"), F.lit(0.0)))
