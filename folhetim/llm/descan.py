@@ -1,10 +1,14 @@
 """Repair of text from scanned pages (problem 4).
 
-Method: running headers are the lines that repeat, fuzzily, in different texts of a report; page numbers are
-lines whose number follows the page sequence; both are taken out, and the lines are joined, words broken
-at a line end by rules over the corpus vocabulary. Misread characters are put right by the same
-vocabulary: a rare word that a known confusion of characters turns into a word of the corpus many times
-as frequent.
+Method: running headers are the lines that repeat, fuzzily, at page edges; page numbers are lines whose
+number is that of the page in the sequence of ``pagina``, or the next; both are taken out, and the lines
+are joined, words broken at a line end by rules over the corpus vocabulary. A unit may run over a page
+break, and the break is not marked, so a page edge may be at any line of a text: what tells a header
+from a line of the text is that the text around it differs from copy to copy.
+
+A word broken at a line end is joined, with the hyphen where the vocabulary has the hyphenated form more
+often than the joined one. Misread characters are put right by the same vocabulary: a rare word that a
+known confusion of characters turns into a word of the corpus many times as frequent.
 
 The vocabulary counts all words of all different texts, summed before its shuffle: repeated deliveries
 and exact copies are no further evidence for a spelling. Words and corrections meet by a
@@ -17,18 +21,19 @@ from __future__ import annotations
 import re
 import unicodedata
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from difflib import SequenceMatcher
 from functools import lru_cache
+from itertools import chain
 
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from folhetim.llm.canonical import AFFECTED, canonical_text
-from folhetim.llm.spread import some, written
-from folhetim.session import checkpointed
+from folhetim.llm.spread import Workspace, small, some
 
 # What is read (right) for what is printed (left), one character or a pair.
 CONFUSIONS = {
@@ -44,7 +49,11 @@ HYPHENS = "-¬~=_–—‐‑\u00ad"
 #: A word is a correction's target if it is seen so many times as often as the misread form, and so often at all.
 TIMES, LEAST = 10, 5
 #: Corrections are broadcast up to so many; beyond, they are joined.
-BROADCAST_CORRECTIONS = 1_000_000
+BROADCAST_CORRECTIONS = 100_000
+#: The headers of so many reports are broadcast.
+BROADCAST_REPORTS = 10_000
+#: A worker's memory of tokens is emptied beyond so many.
+REMEMBERED = 200_000
 #: A header repeats in at least so many different texts, and in such a share of the different texts of several lines of its report.
 HEADER_UNITS, HEADER_SHARE, HEADER_LETTERS = 2, 0.05, 10
 #: A text is a copy of others with a line if one in so many of its other lines is theirs too.
@@ -54,12 +63,14 @@ ENDS = ".,;:()[]{}\"'“”‘’«»…?*"
 AFFECTED_RE = re.compile(AFFECTED)
 LETTERS_RE = re.compile(r"[^\W\d_]")
 PAGE_RE = re.compile(r"[\[(•·*—–\-|\s]*(?:p[aáàâ]g(?:ina)?\s*\.?|p\s*\.|fls?\s*\.?|folha)?\s*(\d{1,4})(?:\s*(?:de|/)\s*\d{1,4})?[\])•·*—–\-|.\s]*", re.I)
+#: No line of a page number has a word longer than those of PAGE_RE; others needn't be tried.
+DIGIT_RE, LONG_WORD_RE = re.compile(r"\d"), re.compile(r"[^\W\d_]{7}")
+FIGURES_RE = re.compile(r"\d(?:[\d.,/:]*\d)?")
 BROKEN_RE = re.compile(rf"[^\W\d_][{HYPHENS}]$")
 SIGN_RE = re.compile("[@€†¢]")
 #: One misread letter inside a word that the vocabulary doesn't have, such as a name.
 INSIDE_RE = re.compile(r"([^\W\d_]{2,})([01569!|])([^\W\d_]{2,})")
 READ_AS = {"0": "o", "1": "l", "5": "s", "6": "b", "9": "g", "!": "i", "|": "l"}
-ODD_RE = re.compile(r"[@€†¢]|[^\W\d_][01569!|][^\W\d_]")
 
 
 def plain(text: str) -> str:
@@ -71,9 +82,20 @@ def core(token: str) -> str:
     return token.strip(ENDS).lower()
 
 
+class Letters(dict):
+    """Characters by number to their letters in lower case without accents; '' for what is no letter."""
+
+    def __missing__(self, code: int) -> str:
+        out = self[code] = "".join(c for c in unicodedata.normalize("NFD", chr(code).lower()) if c.isalpha())
+        return out
+
+
+LETTERS = Letters()
+
+
 def fold(line: str) -> str:
     """The letters of a line without accents and confusions: spellings of one header fold alike."""
-    return skeleton("".join(c for c in unicodedata.normalize("NFD", line.lower()) if c.isalpha()))
+    return skeleton(line.translate(LETTERS))
 
 
 def same_header(f: str, header: dict[str, str]) -> str | None:
@@ -137,15 +159,13 @@ def _count_words(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     def out() -> pd.DataFrame:
         words: Counter = Counter()
         for token, n in counts.items():
-            if (w := core(token)) and LETTERS_RE.search(w) and len(w) > 1:
+            if len(w := core(token)) > 1 and (w.isalpha() or LETTERS_RE.search(w)):
                 words[w] += n
         counts.clear()
         return pd.DataFrame({"palavra": list(words), "n": list(words.values())})
 
     for b in batches:
-        for t in b.iloc[:, 0]:
-            if t is not None:
-                counts.update(plain(t).split())
+        counts.update(chain.from_iterable(plain(t).split() for t in b.iloc[:, 0] if t is not None))
         if len(counts) > 500_000:
             yield from some(out())
     yield from some(out())
@@ -162,99 +182,144 @@ def _confirm(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield from some(b[keep])
 
 
-def corrections(words: DataFrame) -> DataFrame:
+def corrections(words: DataFrame, space: Workspace) -> DataFrame:
     """``palavra, correta``: the misread words of a vocabulary and compounds written without their hyphen.
 
     Of the words with one skeleton the most frequent made of letters alone is the target (the first in
     order on a tie); others are corrected if they are rarer by TIMES and differ by confusions alone.
+    ``words`` is a written table: it is read, not worked out, for each of the joins.
     """
     keyed = words.withColumn("chave", F.xxhash64(skeleton_column(F.replace("palavra", F.lit("-"), F.lit("")))))
     right = keyed.where((F.col("n") >= LEAST) & F.col("palavra").rlike(r"^[\p{L}µ]+(-[\p{L}]+)*$"))
-    targets = right.groupBy("chave").agg(F.max(F.struct("n", F.col("palavra").alias("w"))).alias("alvo"))
-    seen = keyed.join(targets, "chave").where(f"n * {TIMES} <= alvo.n and palavra <> alvo.w").select("palavra", F.col("alvo.w").alias("correta"))
-    compounds = targets.where("alvo.w like '%-%'").select(F.replace("alvo.w", F.lit("-"), F.lit("")).alias("junta"), F.col("alvo.w").alias("correta"), F.col("alvo.n").alias("vezes"))
-    own = words.withColumnRenamed("n", "m")
-    unhyphened = compounds.join(own, (F.col("junta") == F.col("palavra")) & (F.col("m") * TIMES > F.col("vezes")), "left_anti").select(F.col("junta").alias("palavra"), "correta")
+    targets = space.write(right.groupBy("chave").agg(F.max(F.struct("n", F.col("palavra").alias("w"))).alias("alvo")))
+    near = small(targets)
+    seen = keyed.join(near, "chave").where(f"n * {TIMES} <= alvo.n and palavra <> alvo.w").select("palavra", F.col("alvo.w").alias("correta"))
+    compounds = near.where("alvo.w like '%-%'").select(F.replace("alvo.w", F.lit("-"), F.lit("")).alias("junta"), F.col("alvo.w").alias("correta"), F.col("alvo.n").alias("vezes"))
+    as_one = words.join(compounds, F.col("junta") == F.col("palavra")).where(f"n * {TIMES} > vezes").select("junta")
+    unhyphened = compounds.join(as_one, "junta", "left_anti").select(F.col("junta").alias("palavra"), "correta")
     return seen.union(unhyphened).distinct().mapInPandas(_confirm, "palavra string, correta string")
 
 
+def compounds_at_breaks(breaks: DataFrame, words: DataFrame, space: Workspace) -> DataFrame:
+    """``palavra, correta``: the words broken over a line (``a\\nb``) that the vocabulary has as ``a-b`` more often than as ``ab``."""
+    hyphenated = words.where("palavra like '%-%'").select(F.col("palavra").alias("correta"), F.col("n").alias("com"))
+    forms = space.write(breaks.withColumn("correta", F.replace("palavra", F.lit("\n"), F.lit("-"))))
+    known = space.write(hyphenated.join(small(forms), "correta").withColumn("junta", F.replace("palavra", F.lit("\n"), F.lit(""))))
+    joined = words.select(F.col("palavra").alias("junta"), F.col("n").alias("sem")).join(small(known.select("junta").distinct()), "junta", "left_semi")
+    return known.join(joined, "junta", "left").where("com > coalesce(sem, 0)").select("palavra", "correta")
+
+
 # ---- headers
 
 
-def _lines(text: str) -> Iterator[tuple[str, str]]:
-    """The lines of a text that may be headers, folded and as they are, each once."""
-    seen = set()
-    for line in text.split("\n"):
-        f = fold(line)
-        if len(f) >= HEADER_LETTERS and len(line) < 200 and f not in seen:
-            seen.add(f)
-            yield f, line
+def breaks_of(lines: list[str]) -> set[str]:
+    """The words that may be broken over the line ends, as ``a\\nb``: what follows may stand after a header and a page number."""
+    out = set()
+    for i, line in enumerate(lines):
+        if BROKEN_RE.search(line):
+            out |= {break_key(line[:-1], after) for after in lines[i + 1 : i + 4] if LETTERS_RE.match(after)}
+    return out
 
 
-def _repeatable(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for b in batches:
-        rows = [(report, f, " ".join(re.findall(r"\d+", line))) for report, text in zip(b["r"], b["texto"]) for f, line in _lines(plain(text))]
-        yield from some(pd.DataFrame(rows, columns=["r", "linha", "numeros"]))
+def break_key(left: str, right: str) -> str:
+    return f"{core(left.rpartition(' ')[2])}\n{core(right.partition(' ')[0])}"
 
 
-def _around(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Hashes of the folded lines of each text (for line ''), or of those besides each of its ``candidatas``."""
+def _lines_of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Of each text a hash; of its different folded lines the hashes; the lines long enough for a header, with hash and numbers; and its breaks."""
     for b in batches:
         rows = []
-        for report, text, candidates in zip(b["r"], b["texto"], b["candidatas"]):
-            text = plain(text)
-            own = {f: xxhash.xxh64_intdigest(f) - (1 << 63) for line in text.split("\n") if (f := fold(line))}
-            if candidates is None:
-                rows.append((report, "", list(own.values())))
-            else:
-                candidates = set(candidates)
-                rows += [(report, f, [h for g, h in own.items() if g != f]) for f, _ in _lines(text) if f in candidates]
-        yield from some(pd.DataFrame(rows, columns=["r", "linha", "outras"]))
+        for report, text in zip(b["r"], b["texto"]):
+            lines = [s for line in plain(text).split("\n") if (s := line.strip())]
+            own: dict[str, str] = {}
+            for line in lines:
+                if f := fold(line):
+                    own.setdefault(f, line)
+            marks = {f: xxhash.xxh64_intdigest(f) - (1 << 63) for f in own}
+            long = [f for f in own if len(f) >= HEADER_LETTERS]
+            rows.append((report, xxhash.xxh64_intdigest(text) - (1 << 63), list(marks.values()), [marks[f] for f in long], long, [" ".join(re.findall(r"\d+", own[f])) for f in long], list(breaks_of(lines))))
+        yield from some(pd.DataFrame(rows, columns=["r", "t", "todas", "marca", "linha", "numeros", "quebras"]))
+
 
+LINES = "r string, t long, todas array<long>, marca array<long>, linha array<string>, numeros array<string>, quebras array<string>"
 
-def different(several: DataFrame) -> DataFrame:
-    """``r, linha, n``: of ``r, texto, candidatas`` how many texts each line stands in, where copies count as one.
 
-    A text is a copy, exact or revised, if one in COPY_LINES of its other lines stands beside the line in another text too.
+def different(texts: DataFrame) -> DataFrame:
+    """``g, n``: of ``g, t, outras`` how many texts ``t`` each group has, where copies count as one.
+
+    A text is a copy, exact or revised, if one in COPY_LINES of its lines ``outras`` stands in another text of the group too.
     """
-    texts = written(several.mapInPandas(_around, "r string, linha string, outras array<long>").withColumn("g", F.xxhash64("r", "linha")).withColumn("t", F.xxhash64("g", F.array_sort("outras"))))
     beside = texts.select("g", "t", F.explode("outras").alias("h"))
     again = beside.groupBy("g", "h").agg(F.count("*").alias("vezes")).where("vezes > 1")
-    shared = beside.join(again, ["g", "h"]).groupBy("g", "t").agg(F.countDistinct("h").alias("comuns"))
+    shared = beside.join(again, ["g", "h"]).groupBy("g", "t").agg(F.count("*").alias("comuns"))
     told = texts.join(shared, ["g", "t"], "left").withColumn("copia", F.coalesce("comuns", F.lit(0)) * COPY_LINES >= F.size("outras"))
-    return told.groupBy("r", "linha").agg((F.count_if(~F.col("copia")) + F.max(F.col("copia").cast("int"))).alias("n"))
+    return told.groupBy("g").agg((F.count_if(~F.col("copia")) + F.max(F.col("copia").cast("int"))).alias("n"))
+
+
+def lines_of_units(units: DataFrame) -> DataFrame:
+    """The lines of the different texts of several lines of each report: a row of ``LINES`` per text."""
+    return units.where(F.col("texto").contains("\n")).select(report_key(), "texto").distinct().mapInPandas(_lines_of, LINES)
 
 
-def headers(units: DataFrame) -> DataFrame:
+def report_key() -> Column:
+    return F.coalesce(F.concat(F.lit("="), "relatorio"), F.lit("")).alias("r")
+
+
+def headers(units: DataFrame, lines: DataFrame | None = None, space: Workspace | None = None) -> DataFrame:
     """``relatorio, cabecalhos array<struct<linha, numeros>>, ultima_pagina``: per report its running headers.
 
-    ``units``: ``relatorio, pagina, chave, texto``. A header is a line, folded, that repeats in
-    HEADER_UNITS different texts and HEADER_SHARE of the report's different texts of several lines;
-    ``numeros`` are the numbers that belong to it. It stands at page breaks, which may be anywhere in a
-    text, so what tells it from a line of the text is that the text around it differs: repeated
+    ``units``: ``relatorio, pagina, chave, texto``; ``lines``: their ``lines_of_units`` as a written table.
+    A header is a line, folded, that repeats in HEADER_UNITS different texts and HEADER_SHARE of the
+    report's different texts of several lines; ``numeros`` are the numbers that belong to it. Repeated
     deliveries, copies under other keys and revised copies count once.
     """
-    report = F.coalesce(F.concat(F.lit("="), "relatorio"), F.lit("")).alias("r")
-    several = written(units.where(F.col("texto").contains("\n")).select(report, "texto").distinct().repartition(units.sparkSession.sparkContext.defaultParallelism))
-    per = several.mapInPandas(_repeatable, "r string, linha string, numeros string").groupBy("r", "linha", "numeros").agg(F.count("*").alias("n"))
-    kinds = per.groupBy("r", "linha").agg(F.sum("n").alias("vezes"), F.max(F.struct("n", F.negative(F.length("numeros")).alias("curto"), "numeros"))["numeros"].alias("numeros"))
-    whole = different(several.withColumn("candidatas", F.lit(None).cast("array<string>"))).select("r", F.col("n").alias("varias"))
+    space = space or Workspace(units.sparkSession)
+    lines = space.write(lines_of_units(units)) if lines is None else lines
+    marks = lines.select(F.xxhash64("r").alias("g"), F.explode("marca").alias("marca"))
+    whole = different(lines.select(F.xxhash64("r").alias("g"), "t", F.col("todas").alias("outras"))).withColumnRenamed("n", "varias")
     enough = lambda n: (F.col(n) >= HEADER_UNITS) & (F.col(n) >= HEADER_SHARE * F.col("varias"))
-    likely = checkpointed(kinds.where(F.col("vezes") >= HEADER_UNITS).join(whole, "r").where(enough("vezes")))
-    around = different(several.join(likely.groupBy("r").agg(F.collect_list("linha").alias("candidatas")), "r"))
-    kept = likely.join(around, ["r", "linha"]).where(enough("n")).groupBy("r").agg(F.collect_list(F.struct("linha", "numeros")).alias("cabecalhos"))
+    often = space.write(marks.groupBy("g", "marca").agg(F.count("*").alias("vezes")).where(F.col("vezes") >= HEADER_UNITS).join(whole, "g").where(enough("vezes")))
+    each = lines.select("r", F.xxhash64("r").alias("g"), F.explode(F.arrays_zip("marca", "linha", "numeros")).alias("x")).select("r", "g", "x.*").join(small(often), ["g", "marca"])
+    per = each.groupBy("r", "marca", "linha", "varias", "numeros").agg(F.count("*").alias("n"))
+    likely = space.write(per.groupBy("r", "marca", "linha", "varias").agg(F.max(F.struct("n", F.negative(F.length("numeros")).alias("curto"), "numeros"))["numeros"].alias("numeros")))
+    candidates = likely.groupBy("r").agg(F.collect_set("marca").alias("candidatas"))
+    at = lines.select("r", "t", "todas").join(candidates, "r").select("r", "t", "todas", F.explode(F.array_intersect("todas", "candidatas")).alias("marca"))
+    around = different(at.select(F.xxhash64("r", "marca").alias("g"), "t", F.array_remove("todas", F.col("marca")).alias("outras")))
+    kept = likely.withColumn("g", F.xxhash64("r", "marca")).join(around, "g").where(enough("n")).groupBy("r").agg(F.collect_list(F.struct("linha", "numeros")).alias("cabecalhos"))
     last = units.groupBy("relatorio").agg(F.max("pagina").alias("ultima_pagina"))
-    return last.withColumn("r", report).join(kept, "r", "left").select("relatorio", "cabecalhos", "ultima_pagina")
+    found = space.write(last.withColumn("r", report_key()).join(kept, "r", "left").select("relatorio", "cabecalhos", "ultima_pagina"))
+    space.drop(often, likely)
+    return found
 
 
 # ---- repair of one text
 
 
-def join_lines(text: str, page: int | None, last: int | None, header: dict[str, str]) -> tuple[str, set[str]]:
-    """The text without headers and page numbers, its lines joined; and the kinds of damage met."""
+class Header(dict):
+    """The folded headers of a report with their numbers; a line looked up once is remembered."""
+
+    def __init__(self, *args) -> None:
+        super().__init__(*args)
+        self.told: dict[str, str | None] = {}
+
+    def find(self, folded: str) -> str | None:
+        if folded not in self.told:
+            if len(self.told) > 10_000:
+                self.told.clear()
+            self.told[folded] = same_header(folded, self)
+        return self.told[folded]
+
+
+def join_lines(text: str, page: int | None, last: int | None, header: dict[str, str], lexicon: dict[str, str] | None = None) -> tuple[str, set[str]]:
+    """The text without headers and page numbers, its lines joined; and the kinds of damage met.
+
+    ``lexicon``: of the words broken over lines, ``a\\nb``, those that have a hyphen. Other words are
+    joined without, but for a capital after the break.
+    """
     if "\n" not in text:
         return text, set()
     kinds: set[str] = set()
+    header = header if isinstance(header, Header) else Header(header)
 
     def is_page(number: str, marked: bool) -> bool:
         n = int(number)
@@ -265,7 +330,7 @@ def join_lines(text: str, page: int | None, last: int | None, header: dict[str,
     kept = []
     for line in text.split("\n"):
         s = line.strip()
-        if s and header and len(f := fold(s)) >= HEADER_LETTERS and (h := same_header(f, header)):
+        if s and header and len(f := fold(s)) >= HEADER_LETTERS and (h := header.find(f)):
             kinds.add("cabecalho")
             own, others = header[h].split(), re.findall(r"\d+", s)
             for n in own:
@@ -274,7 +339,7 @@ def join_lines(text: str, page: int | None, last: int | None, header: dict[str,
             if any(is_page(n, True) for n in others):
                 kinds.add("numero_pagina")
             continue
-        if s and (m := PAGE_RE.fullmatch(s)) and is_page(m.group(1), not s.isdigit()):
+        if DIGIT_RE.search(s) and not LONG_WORD_RE.search(s) and (m := PAGE_RE.fullmatch(s)) and is_page(m.group(1), not s.isdigit()):
             kinds.add("numero_pagina")
             continue
         kept.append(s)
@@ -286,11 +351,11 @@ def join_lines(text: str, page: int | None, last: int | None, header: dict[str,
             continue
         if not out:
             out.append(s)
-        elif BROKEN_RE.search(out[-1]) and LETTERS_RE.match(s):
+        elif BROKEN_RE.search(out[-1][-2:]) and LETTERS_RE.match(s):
             kinds.add("hifen")
             left, right = out[-1][:-1], s
             capital = right[0].isupper() and not left.rpartition(" ")[2].isupper()
-            out[-1] = left + ("-" if capital else "") + right
+            out[-1] = left + ("-" if capital or (lexicon and break_key(left, right) in lexicon) else "") + right
         else:
             out[-1] += ("\n\n" if gap else " ") + s
         gap = False
@@ -318,17 +383,38 @@ def fix_word(token: str, lexicon: dict[str, str]) -> tuple[str, bool]:
     return (token[:at] + as_cased(fixed, token[at : at + len(w)]) + token[at + len(w) :] if at >= 0 else fixed), misread
 
 
-def repair(text: str, page: int | None, last: int | None, header: dict[str, str], lexicon: dict[str, str]) -> tuple[str, set[str]]:
+def is_plain(word: str) -> bool:
+    """Whether a word is of letters or of figures alone: nothing but the lexicon can change it."""
+    return word.isalpha() or FIGURES_RE.fullmatch(word) is not None
+
+
+class Fixer(dict):
+    """Tokens put right, each worked out once: token -> None where it is right, else the right one and whether it was misread."""
+
+    def __init__(self, lexicon: dict[str, str], shared: bool = False) -> None:
+        """``shared``: whether the lexicon is that of all texts, not of one."""
+        super().__init__()
+        self.lexicon, self.shared = lexicon, shared
+
+    def __missing__(self, token: str) -> tuple[str, bool] | None:
+        if len(self) >= REMEMBERED:
+            self.clear()
+        out = self[token] = None if is_plain(word := token.strip(ENDS)) and word.lower() not in self.lexicon else self.worked_out(token)
+        return out
+
+    def worked_out(self, token: str) -> tuple[str, bool] | None:
+        fixed, misread = fix_word(token, self.lexicon)
+        return None if fixed == token and not misread else (fixed, misread)
+
+
+def repair(text: str, page: int | None, last: int | None, header: dict[str, str], fixer: Fixer) -> tuple[str, set[str]]:
     """The continuous text, and its kinds of damage."""
-    joined, kinds = join_lines(plain(text), page, last, header)
-    changes = {t for t in set(joined.split()) if core(t) in lexicon or ODD_RE.search(t)}
-    if changes:
-        fixes = {}
-        for t in changes:
-            fixes[t], misread = fix_word(t, lexicon)
-            if misread:
-                kinds.add("caractere")
-        joined = re.sub(r"\S+", lambda m: fixes.get(m.group(), m.group()), joined)
+    joined, kinds = join_lines(plain(text), page, last, header, fixer.lexicon)
+    fixes = {t: x for t in set(joined.split()) if (x := fixer[t]) is not None}
+    if fixes:
+        if any(misread for _, misread in fixes.values()):
+            kinds.add("caractere")
+        joined = re.sub(r"\S+", lambda m: fixes[m.group()][0] if m.group() in fixes else m.group(), joined)
     return joined, kinds
 
 
@@ -336,28 +422,42 @@ def repair(text: str, page: int | None, last: int | None, header: dict[str, str]
 
 
 class Damage:
-    """What the repair of a table's texts needs, worked out from all its texts."""
+    """What the repair of a table's texts needs, worked out from all its texts and written."""
 
     def __init__(self, units: DataFrame, other_texts: DataFrame | None = None) -> None:
         """``units``: ``relatorio, pagina, chave, texto``; ``other_texts``: more texts for the vocabulary."""
-        texts = units.select("texto") if other_texts is None else units.select("texto").union(other_texts)
-        self.lexicon = corrections(vocabulary(texts.where("texto is not null")))
-        self.headers = headers(units.where("texto is not null"))
+        self.space = space = Workspace(units.sparkSession)
+        there = units.where("texto is not null")
+        texts = there.select("texto") if other_texts is None else there.select("texto").union(other_texts.where("texto is not null"))
+        words = space.write(vocabulary(texts))
+        lines = space.write(lines_of_units(there))
+        breaks = lines.select(F.explode("quebras").alias("palavra")).distinct()
+        self.headers = headers(there, lines, space)
+        self.lexicon = space.write(corrections(words, space).union(compounds_at_breaks(breaks, words, space)))
+        space.drop(words, lines)
 
     def words_to_fix(self) -> dict[str, str] | None:
         """The corrections, or None where they are more than may be broadcast."""
-        rows = self.lexicon.limit(BROADCAST_CORRECTIONS + 1).toPandas()
-        return None if len(rows) > BROADCAST_CORRECTIONS else dict(zip(rows["palavra"], rows["correta"]))
+        if self.lexicon.count() > BROADCAST_CORRECTIONS:
+            return None
+        rows = self.lexicon.toPandas()
+        return dict(zip(rows["palavra"], rows["correta"]))
 
 
 def with_headers(units: DataFrame, found: DataFrame) -> DataFrame:
-    """``units`` with the headers of its report; Spark broadcasts them while they are small."""
-    h = found.withColumnRenamed("relatorio", "r_cabecalho")
-    return units.join(h, F.col("relatorio").eqNullSafe(F.col("r_cabecalho")), "left").drop("r_cabecalho")
+    """``units`` with the headers of its report, which only texts of several lines need.
 
-
-def header_dict(cell) -> dict[str, str]:
-    return {} if cell is None else {x["linha"]: x["numeros"] for x in cell}
+    ``found``, a row per report, is broadcast up to BROADCAST_REPORTS rows; beyond, only the texts of
+    several lines go through the join.
+    """
+    h = found.withColumnRenamed("relatorio", "r_cabecalho")
+    several = F.coalesce(F.col("texto").contains("\n"), F.lit(False))
+    own = F.col("relatorio").eqNullSafe(F.col("r_cabecalho"))
+    if found.count() <= BROADCAST_REPORTS:
+        return units.join(F.broadcast(h), own & several, "left").drop("r_cabecalho")
+    kinds = dict(found.dtypes)
+    one = units.where(~several).withColumns({c: F.lit(None).cast(kinds[c]) for c in ("cabecalhos", "ultima_pagina")})
+    return one.unionByName(units.where(several).join(h, own, "left").drop("r_cabecalho"))
 
 
 def _words_of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -365,8 +465,9 @@ def _words_of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         rows = []
         for key, text, page, last, header in zip(b["linha_n"], b["texto"], b["pagina"], b["ultima_pagina"], b["cabecalhos"]):
             if text is not None:
-                joined, _ = join_lines(plain(text), None if page != page else page, None if last != last else last, header_dict(header))
-                rows += [(key, w) for w in {core(t) for t in joined.split()}]
+                joined, _ = join_lines(plain(text), None if page != page else page, None if last != last else last, {} if header is None else {x["linha"]: x["numeros"] for x in header})
+                own = {core(t) for t in joined.split()} | breaks_of([s for line in plain(text).split("\n") if (s := line.strip())])
+                rows += [(key, w) for w in own]
         yield from some(pd.DataFrame(rows, columns=["linha_n", "palavra"]))
 
 
@@ -377,35 +478,63 @@ def per_unit_fixes(units: DataFrame, lexicon: DataFrame) -> DataFrame:
     return units.join(own, "linha_n", "left")
 
 
-def repaired(units: DataFrame, damage: Damage, broadcast_limit: int | None = None) -> DataFrame:
-    """``chave, texto, texto_limpo, defeitos array<string>`` for each row of ``relatorio, pagina, chave, texto``.
+def over_texts(units: DataFrame, damage: Damage, make: Callable[[], Callable], schema: str, broadcast_limit: int | None = None) -> DataFrame:
+    """Rows made from the texts of ``relatorio, pagina, chave, texto`` with all that their repair needs.
 
-    Null texts stay null, without damage; empty texts stay empty; repeated rows are repeated. A text
-    without a damaged word or line comes back equal, but in the one form of ``canonical``.
+    ``make()`` is called once per task and gives ``f(keys, texts, mend) -> pyarrow.RecordBatch``, called
+    once per batch; ``mend(i)`` are the arguments of ``repair`` for the batch's i-th text, but the text.
     """
-    spark = units.sparkSession
     fixes = None if broadcast_limit == 0 else damage.words_to_fix()
-    ready = with_headers(units, damage.headers)
+    ready = with_headers(units, damage.headers).withColumn("r", report_key())
     if fixes is None:
-        ready = per_unit_fixes(checkpointed(ready.withColumn("linha_n", F.monotonically_increasing_id())), damage.lexicon)
-        shared = None
+        numbered = damage.space.write(ready.withColumn("linha_n", F.monotonically_increasing_id()))
+        ready, shared = per_unit_fixes(numbered, damage.lexicon), None
     else:
         ready = ready.withColumn("correcoes", F.lit(None).cast("map<string,string>"))
-        shared = spark.sparkContext.broadcast(fixes)
+        shared = units.sparkSession.sparkContext.broadcast(fixes)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        lexicon = shared.value if shared is not None else {}
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fixer, f, reports, none = Fixer({} if shared is None else shared.value, shared is not None), make(), {}, Header()
         for b in batches:
-            texts, kinds = [], []
-            for text, page, last, header, own in zip(b["texto"], b["pagina"], b["ultima_pagina"], b["cabecalhos"], b["correcoes"]):
-                if text is None:
-                    texts.append(None)
-                    kinds.append([])
-                    continue
-                clean, k = repair(text, None if page != page else page, None if last != last else last, header_dict(header), lexicon if own is None else dict(own))
-                texts.append(clean)
-                kinds.append(sorted(k))
-            yield from some(pd.DataFrame({"chave": b["chave"], "texto": b["texto"], "texto_limpo": texts, "defeitos": kinds}))
-
-    columns = ready.select("chave", "texto", "pagina", "ultima_pagina", "cabecalhos", "correcoes")
-    return columns.mapInPandas(run, "chave string, texto string, texto_limpo string, defeitos array<string>")
+            keys, names, texts, pages, lasts, cells, own = (b.column(i).to_pylist() for i in range(7))
+
+            def mend(i: int) -> tuple:
+                if cells[i] is not None and names[i] not in reports:
+                    reports[names[i]] = Header((x["linha"], x["numeros"]) for x in cells[i])
+                header = none if cells[i] is None else reports[names[i]]
+                return pages[i], lasts[i], header, fixer if shared is not None else Fixer(dict(own[i] or ()))
+
+            yield f(keys, texts, mend)
+
+    return ready.select("chave", "r", "texto", "pagina", "ultima_pagina", "cabecalhos", "correcoes").mapInArrow(run, schema)
+
+
+def repaired(units: DataFrame, damage: Damage, broadcast_limit: int | None = None) -> DataFrame:
+    """``chave, texto, texto_limpo, defeitos array<string>`` for each row of ``relatorio, pagina, chave, texto``.
+
+    Null texts stay null, without damage; empty texts stay empty; repeated rows are repeated. A text
+    without a damaged word or line comes back equal, but in the one form of ``canonical``.
+    """
+
+    def make() -> Callable:
+        def batch(keys: list, texts: list, mend: Callable) -> pa.RecordBatch:
+            done = [(None, set()) if t is None else repair(t, *mend(i)) for i, t in enumerate(texts)]
+            columns = [pa.array(keys, pa.string()), pa.array(texts, pa.string()), pa.array([x for x, _ in done], pa.string()), pa.array([sorted(k) for _, k in done], pa.list_(pa.string()))]
+            return pa.RecordBatch.from_arrays(columns, ["chave", "texto", "texto_limpo", "defeitos"])
+
+        return batch
+
+    return over_texts(units, damage, make, "chave string, texto string, texto_limpo string, defeitos array<string>", broadcast_limit)
+
+
+def defects(units: DataFrame, damage: Damage) -> DataFrame:
+    """``chave, defeito``: the kinds of damage of each row that has any, by the same repair as ``repaired``."""
+
+    def make() -> Callable:
+        def batch(keys: list, texts: list, mend: Callable) -> pa.RecordBatch:
+            rows = [(k, d) for i, (k, t) in enumerate(zip(keys, texts)) if t is not None for d in sorted(repair(t, *mend(i))[1])]
+            return pa.RecordBatch.from_arrays([pa.array([x[j] for x in rows], pa.string()) for j in (0, 1)], ["chave", "defeito"])
+
+        return batch
+
+    return over_texts(units, damage, make, "chave string, defeito string")

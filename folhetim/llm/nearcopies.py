@@ -6,26 +6,33 @@ bucket keys; texts that share a bucket are compared exactly, word by word; group
 components of the exact links.
 
 Equal texts (by their bag of words) are one node, so hot copies cost nothing. Bucket sizes are counted
-by a partial aggregation. In a bucket of at most PAIRED nodes all pairs are compared; in a larger one
-every node is compared with the bucket's first, and only those not linked to it with all others: a hot
-bucket of copies costs a pass, and no pair is given up.
+by a partial aggregation. In a bucket of at most PAIRED nodes all pairs are compared. A larger one is cut
+into smaller buckets by an exact prefix filter: linked nodes share one of their first words, rare ones
+first. Where even such a bucket is large, every node is compared with the bucket's first, and only those
+not linked to it with all others. So a hot bucket of copies costs a pass over it, a hot bucket of texts
+that share but a form is cut up, and no pair is given up.
+
+A link at a similarity of exactly 0.8 (a Jaccard index of two thirds) shares none of the 16 bands with a
+chance of (1 - (2/3)^3)^16 = 0.4 %; at 0.9 (0.82) it is 1 in 4 million.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from folhetim.llm.components import components
-from folhetim.llm.spread import written
-from folhetim.llm.wordsets import linked
+from folhetim.llm.spread import Workspace, is_empty, small
+from folhetim.llm.wordsets import linked_pairs, starts_of, unpacked
 
 PERMUTATIONS, ROWS = 24, 3
-PAIRED = 50
+PAIRED = 1000
+#: Words are ordered by how often they occur, counted in so many slots by hash: a table of fixed size.
+SLOTS = 1 << 18
 
 
 def min_max_bands(flat: np.ndarray, starts: np.ndarray, permutations: int = PERMUTATIONS, rows: int = ROWS) -> np.ndarray:
@@ -55,94 +62,218 @@ def min_max_bands(flat: np.ndarray, starts: np.ndarray, permutations: int = PERM
     return np.stack(bands, axis=1).view(np.int64)
 
 
-def _bands(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for b in batches:
-        if len(b):
-            sizes = b["palavras"].map(len).to_numpy()
-            flat = np.concatenate(b["palavras"].to_numpy()).astype(np.int64)
-            keys = min_max_bands(flat, np.concatenate([[0], np.cumsum(sizes)[:-1]]))
-            yield pd.DataFrame({"faixa": keys.ravel(), "no": np.repeat(b["no"].to_numpy(), keys.shape[1])})
+# ---- first words, rare ones first
+
+
+def word_counts(nodes: DataFrame) -> np.ndarray:
+    """How often words occur over all ``palavras``, by slot: SLOTS numbers, whatever the size of the input."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = np.zeros(SLOTS, np.int64)
+        for b in batches:
+            own += np.bincount(unpacked(b.column("palavras"))[0] % SLOTS, minlength=SLOTS)
+        there = np.flatnonzero(own)
+        for i in range(0, len(there), 10_000):
+            part = there[i : i + 10_000]
+            yield pa.RecordBatch.from_pydict({"s": pa.array(part, pa.int32()), "n": pa.array(own[part], pa.int64())})
+
+    rows = nodes.select("palavras").mapInArrow(run, "s int, n long").groupBy("s").agg(F.sum("n").alias("n")).toPandas()
+    out = np.zeros(SLOTS, np.int64)
+    out[rows["s"].to_numpy(dtype=np.int64)] = rows["n"].to_numpy(dtype=np.int64)
+    return out
+
+
+def first_words(nodes: DataFrame, counts: np.ndarray, share: float, more: int = 0) -> DataFrame:
+    """``no, palavra, posicao, n`` and the other columns of ``nodes`` but ``palavras``: the words by which links are found.
+
+    In any one order of all words, bags linked by ``share`` have at least ``more`` + 1 words in common
+    among the first n - ceil(share n) + 1 + ``more`` of each. The order is that of ``counts``, then of
+    hash; it decides the size of buckets, not the result. ``posicao`` counts from 1.
+    """
+    order = nodes.sparkSession.sparkContext.broadcast(counts)
+    thousandths = round(share * 1000)
+    kept = [f for f in nodes.schema.fields if f.name not in ("no", "n", "palavras")]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            flat, sizes = unpacked(b.column("palavras"))
+            if not len(flat):
+                continue
+            row = np.repeat(np.arange(len(sizes)), sizes)
+            ordered = np.lexsort((flat, order.value[flat % SLOTS], row))
+            position = np.arange(len(flat)) - np.repeat(starts_of(sizes), sizes) + 1
+            first = position <= (sizes + thousandths * -sizes // 1000 + 1 + more)[row]
+            at = pa.array(row[first])
+            columns = {"no": b.column("no").take(at), "palavra": pa.array(flat[ordered][first]), "posicao": pa.array(position[first], pa.int32()), "n": pa.array(sizes[row[first]], pa.int32())}
+            yield pa.RecordBatch.from_pydict(columns | {f.name: b.column(f.name).take(at) for f in kept})
 
+    schema = "no long, palavra long, posicao int, n int" + "".join(f", {f.name} {f.dataType.simpleString()}" for f in kept)
+    return nodes.select("no", "palavras", *[f.name for f in kept]).mapInArrow(run, schema)
 
-def verified(pairs: DataFrame, nodes: DataFrame, share: float) -> DataFrame:
-    """Of the distinct candidate pairs (``a, b``) those linked exactly."""
-    wa = nodes.select(F.col("no").alias("a"), F.col("palavras").alias("palavras_a"))
-    wb = nodes.select(F.col("no").alias("b"), F.col("palavras").alias("palavras_b"))
-    return pairs.join(wa, "a").join(wb, "b").where(linked(share=share)).select("a", "b")
+
+# ---- links within buckets
+
+
+def verified(pairs: DataFrame, nodes: DataFrame, space: Workspace, share: float) -> DataFrame:
+    """Of candidate pairs (``a, b``, once each) those linked exactly; a written table.
+
+    The words of the nodes that are in a pair are fetched once.
+    """
+    pairs = space.write(pairs)
+    ids = space.write(pairs.select(F.col("a").alias("no")).union(pairs.select(F.col("b").alias("no"))).distinct())
+    near = space.write(nodes.select("no", "palavras").join(small(ids), "no"))
+    wa = near.select(F.col("no").alias("a"), F.col("palavras").alias("palavras_a"))
+    wb = near.select(F.col("no").alias("b"), F.col("palavras").alias("palavras_b"))
+    found = space.write(linked_pairs(pairs.join(wa, "a").join(wb, "b"), share))
+    space.drop(pairs, ids, near)
+    return found
 
 
 #: What a pair must meet: lengths that allow the share, and word maps that differ in no more bits than
 #: linked bags have words apart. Both follow from the definition of a link, so no link is lost.
 MAP = ("n", "m0", "m1", "m2", "m3")
 POSSIBLE = "least(x.n, y.n) * 1000 >= greatest(x.n, y.n) * {t} and " + " + ".join(f"bit_count(x.m{k} ^ y.m{k})" for k in range(4)) + " <= x.n + y.n - 2 * ceil(greatest(x.n, y.n) * {t} / 1000)"
+#: One of a pair's members is of the index; of two such members the pair counts once.
+INDEXED = "x.indice and (not y.indice or x.no < y.no)"
+
+
+def shared_buckets(members: DataFrame, maps: DataFrame, space: Workspace) -> DataFrame:
+    """The members of buckets that may hold a pair, with the bucket's size ``q`` and the node's MAP; a written table.
+
+    Two rows of a bucket make a pair if one of them, at least, is of the index. ``maps`` is ``no`` and MAP.
+    """
+    sizes = members.groupBy("faixa").agg(F.count("*").alias("q"), *([F.max("indice").alias("sim")] if "indice" in members.columns else [F.lit(True).alias("sim")]))
+    sizes = space.write(sizes.where("q > 1 and sim").drop("sim"))
+    found = members.join(small(sizes), "faixa")
+    missing = [c for c in MAP if c not in members.columns]
+    shared = space.write(found.join(maps.select("no", *missing), "no") if missing else found)
+    space.drop(sizes)
+    return shared
 
 
-def bucket_links(members: DataFrame, nodes: DataFrame, share: float, paired: int = PAIRED, worth: str = "true") -> DataFrame:
-    """``a, b``: exact links between nodes of one bucket, enough of them for the components.
+def pairs_of(x: DataFrame, y: DataFrame, condition: str) -> DataFrame:
+    """``a, b``, a < b: the pairs of members of one bucket that meet the condition."""
+    both = x.alias("x").join(y.alias("y"), F.expr(f"x.faixa = y.faixa and {condition}"))
+    return both.select(F.least("x.no", "y.no").alias("a"), F.greatest("x.no", "y.no").alias("b"))
 
-    ``members``: ``faixa, no`` and what ``worth`` needs, a condition on a pair of members ``x`` and ``y``
-    that leaves out pairs that can't be linked or aren't needed. ``nodes``: ``no, n, m0 to m3, palavras``.
+
+def candidates(members: DataFrame, nodes: DataFrame, space: Workspace, share: float, paired: int = PAIRED, worth: str = "true", refine: Callable[[DataFrame], DataFrame] | None = None) -> tuple[DataFrame, DataFrame | None]:
+    """Pairs ``a, b`` of nodes of one bucket that may be linked, once each, and pairs known to be; written tables.
+
+    ``members``: ``faixa, no``, ``indice`` (without it all are of the index) and what ``worth`` needs, a condition on a pair of members ``x`` and
+    ``y`` that leaves out pairs that can't be linked. Pairs without a member of the index are not looked
+    for. ``nodes``: ``no, n, m0 to m3, palavras``. ``refine`` cuts large buckets: members to members.
+    Every link in a bucket is among the pairs, or its ends are joined through others that are.
     """
-    members = written(members)
-    sizes = members.groupBy("faixa").agg(F.count("*").alias("q"), F.min("no").alias("primeiro")).where("q > 1")
-    shared = written(members.join(sizes, "faixa").join(nodes.select("no", *[c for c in MAP if c not in members.columns]), "no"))
-    possible = f"{POSSIBLE.format(t=round(share * 1000))} and ({worth})"
-    small = shared.where(F.col("q") <= paired).drop("q", "primeiro")
-    pairs = small.alias("x").join(small.alias("y"), F.expr(f"x.faixa = y.faixa and x.no < y.no and {possible}")).select(F.col("x.no").alias("a"), F.col("y.no").alias("b")).distinct()
-    links = verified(pairs, nodes, share)
-    large = shared.where(F.col("q") > paired).drop("q")
-    if large.isEmpty():
-        return links
-    others = large.where("no <> primeiro")
-    to_first = written(verified(others.select(F.col("primeiro").alias("a"), F.col("no").alias("b")).distinct(), nodes, share))
-    loose = others.join(to_first, (F.col("primeiro") == F.col("a")) & (F.col("no") == F.col("b")), "left_anti").drop("primeiro")
-    rest = loose.alias("x").join(large.alias("y"), F.expr(f"x.faixa = y.faixa and x.no <> y.no and {possible}"))
-    rest = rest.select(F.least("x.no", "y.no").alias("a"), F.greatest("x.no", "y.no").alias("b")).distinct()
-    return links.union(to_first).union(verified(rest, nodes, share))
-
-
-def copy_links(nodes: DataFrame, share: float = 0.8, paired: int = PAIRED) -> DataFrame:
-    """``a, b``: links between nodes, ``no long, palavras array<long>`` (not empty), that share a band."""
-    return bucket_links(nodes.mapInPandas(_bands, "faixa long, no long"), nodes, share, paired)
-
-
-def nodes_of(records: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """One node for each different bag, ``no, n, m0 to m3, palavras``; and the records' nodes, ``chave, no``.
-
-    A bag's node is one of its rows. The rows of bags that came again are few, or few bags have many:
-    they are told apart by their numbers alone, and the words are not moved for it.
+    shared = shared_buckets(members, nodes, space)
+    can = f"{POSSIBLE.format(t=round(share * 1000))} and ({worth})"
+    few = shared.where(F.col("q") <= paired)
+    pairs = pairs_of(few.where("indice"), few, f"{INDEXED} and {can}") if "indice" in members.columns else pairs_of(few, few, f"x.no < y.no and {can}")
+    large = shared.where(F.col("q") > paired)
+    if is_empty(large):
+        found, known = space.write(pairs.distinct()), None
+    elif refine is not None:
+        cut = space.write(refine(large.drop("q")))
+        rest, known = candidates(cut, nodes, space, share, paired, worth)
+        found = space.write(pairs.union(rest).distinct())
+        space.drop(cut, rest)
+    else:
+        # the bucket's first node of the index against all; what isn't linked to it, against all again
+        large = large if "indice" in members.columns else large.withColumn("indice", F.lit(True))
+        first = large.where("indice").groupBy("faixa").agg(F.min("no").alias("primeiro"))
+        of_first = large.join(first, "faixa")
+        pivot = of_first.where("no = primeiro").drop("primeiro")
+        known = verified(pairs_of(pivot, large, f"x.no <> y.no and {can}").distinct(), nodes, space, share)
+        held = known.union(known.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        loose = of_first.where("no <> primeiro").join(held, (F.col("primeiro") == F.col("a")) & (F.col("no") == F.col("b")), "left_anti").drop("primeiro")
+        others = pairs_of(loose, large, f"x.no <> y.no and (x.indice or y.indice) and {can}")
+        found = space.write(pairs.union(others).distinct())
+    space.drop(shared)
+    return found, known
+
+
+def bucket_links(members: DataFrame, nodes: DataFrame, space: Workspace, share: float, paired: int = PAIRED, worth: str = "true", refine: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+    """``a, b``: exact links between nodes that share a bucket, all that the components need. Arguments as of ``candidates``."""
+    pairs, known = candidates(members, nodes, space, share, paired, worth, refine)
+    links = verified(pairs, nodes, space, share)
+    space.drop(pairs)
+    return links if known is None else links.union(known)
+
+
+def by_first_words(nodes: DataFrame, space: Workspace, share: float) -> Callable[[DataFrame], DataFrame]:
+    """Cuts buckets by the first words of their members; linked members meet in one at least."""
+
+    def refine(large: DataFrame) -> DataFrame:
+        ids = space.write(large.select("no").distinct())
+        own = space.write(nodes.select("no", "palavras").join(small(ids), "no"))
+        words = first_words(own, word_counts(own), share)
+        return large.join(words.select("no", "palavra"), "no").withColumn("faixa", F.xxhash64("faixa", "palavra")).drop("palavra")
+
+    return refine
+
+
+def copy_links(nodes: DataFrame, space: Workspace, share: float = 0.8, paired: int = PAIRED) -> DataFrame:
+    """``a, b``: links between nodes that share a band of ``faixas``."""
+    each = nodes.select("no", *MAP, "faixas", F.expr("explode(sequence(0, cast(octet_length(faixas) div 8 - 1 as int)))").alias("k"))
+    members = each.select("no", *MAP, F.expr("xxhash64(k, substring(faixas, 8 * k + 1, 8))").alias("faixa"))
+    return bucket_links(members, nodes, space, share, paired, refine=by_first_words(nodes, space, share))
+
+
+# ---- records and nodes
+
+
+class Nodes:
+    """One node for each different bag of the records: ``nodes``, ``no`` and the bag's columns; and who has it.
+
+    A bag's node is one of its rows. The rows of bags that came again are told apart by their numbers
+    alone, and the words are not moved for it.
     """
-    rows = written(records.withColumn("no", F.monotonically_increasing_id()))
-    first = rows.groupBy("impressao").agg(F.min("no").alias("primeiro"), F.count("*").alias("q"))
-    again = written(rows.select("no", "chave", "impressao").join(first.where("q > 1"), "impressao").select("no", "chave", "primeiro"))
-    nodes = rows.join(again.where("no <> primeiro").select("no"), "no", "left_anti").select("no", *MAP, "palavras")
-    member = rows.select("chave", "no").join(again.select("no", "primeiro"), "no", "left").select("chave", F.coalesce("primeiro", "no").alias("no")).distinct()
-    return nodes, written(member)
 
+    def __init__(self, records: DataFrame, space: Workspace) -> None:
+        self.rows = rows = space.write(records.withColumn("no", F.monotonically_increasing_id()), random=True)
+        prints = rows.groupBy("impressao").agg(F.min("no").alias("primeiro"), F.count("*").alias("q")).where("q > 1").drop("q")
+        self.again = space.write(rows.select("no", "impressao").join(prints, "impressao").select("no", "primeiro"))
+        self.again_small = small(self.again)
+        self.nodes = rows.join(self.again_small.where("no <> primeiro").select("no"), "no", "left_anti")
+        keys = self.member().groupBy("chave").agg(F.min("no").alias("de"), F.max("no").alias("ate")).where("de <> ate")
+        self.several = space.write(keys.select(F.col("chave").alias("c"), F.col("de").alias("b")))
 
-def same_key_links(member: DataFrame) -> DataFrame:
-    """``a, b``: links between the nodes of a key that came with different bags."""
-    again = member.groupBy("chave").agg(F.min("no").alias("b"), F.count("*").alias("q")).where("q > 1").select("chave", "b")
-    return member.join(again, "chave").where("no <> b").select(F.col("no").alias("a"), "b")
+    def member(self) -> DataFrame:
+        """``chave, no``: the node of each record's row."""
+        return self.rows.select("chave", "no").join(self.again_small, "no", "left").select("chave", F.coalesce("primeiro", "no").alias("no"))
+
+    def same_key_links(self) -> DataFrame:
+        """``a, b``: links between the nodes of a key that came with different bags."""
+        return self.member().join(small(self.several), F.col("chave") == F.col("c")).where("no <> b").select(F.col("no").alias("a"), "b").distinct()
+
+    def classes(self, links: DataFrame, space: Workspace) -> DataFrame:
+        """``chave, c``: the component, by its least node, of each key whose bag is linked or came again; a written table."""
+        found = components(links.union(self.same_key_links()))
+        alone = self.again.select(F.col("primeiro").alias("no")).distinct().join(found, "no", "left_anti").select("no", F.col("no").alias("classe"))
+        classes = space.write(found.union(alone))
+        return space.write(self.member().join(small(classes), "no").select("chave", F.col("classe").alias("c")).distinct())
 
 
 def grouped(records: DataFrame, share: float = 0.8, paired: int = PAIRED) -> DataFrame:
     """``chave, classe, exemplares``: for each record with a copy its class and the class's number of records.
 
-    ``records``: ``chave string, impressao binary, palavras array<long>``. A class is named by its least
+    ``records``: ``wordsets.RECORD`` and ``faixas``, by ``min_max_bands``. A class is named by its least
     key. Records with equal bags are copies; a key that came with different bags joins their classes;
-    repeated rows count once. Records without a copy have no row.
+    repeated rows count once. Records without a copy have no row; no records give no rows.
     """
-    nodes, member = nodes_of(records)
-    links = copy_links(nodes, share, paired)
-    found = components(links.union(same_key_links(member)))
-    named = member.join(found, "no", "left").withColumn("c", F.coalesce("classe", "no")).select("chave", "c").distinct()
+    space = Workspace(records.sparkSession)
+    known = Nodes(records, space)
+    links = copy_links(known.nodes, space, share, paired)
+    named = known.classes(links, space)
     sizes = named.groupBy("c").agg(F.count("*").alias("exemplares"), F.min("chave").alias("classe")).where("exemplares > 1")
     return named.join(sizes, "c").select("chave", "classe", "exemplares")
 
 
 def pairs_within(groups: DataFrame, table_of: F.Column) -> DataFrame:
-    """``id_a, id_b``: all pairs of different records of a class and a table, ``id_a < id_b``."""
+    """``id_a, id_b``: all pairs of different records of a class and a table, ``id_a < id_b``.
+
+    TESTDATA.md fixes this form; it is as large as the squares of the classes. ``grouped`` is the linear one.
+    """
     g = groups.select("classe", "chave", table_of.alias("tabela"))
     return (
         g.select("classe", "tabela", F.col("chave").alias("id_a"))

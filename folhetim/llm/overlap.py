@@ -1,78 +1,56 @@
 """The same or nearly the same records in the training and the evaluation splits (problem 6).
 
-Method: exact prefix-filter join on rare shingles, single words here as TESTDATA.md defines copies by
-words. With its words in one order, rare ones first, a bag of n words that shares 0.8 n words with
-another shares one of its first n - ceil(0.8 n) + 1 with the other's first ones. The prefixes of
-evaluation records, and of unassigned ones that may connect them to training, are the index; all
-records probe it, with length and position filters; overlaps are verified exactly, so no link is lost
-but those between training records, which can't matter. Groups are the components of the links.
-
-The order needs the frequent words alone, the FREQUENT most frequent of all; others count as rare, in
-order of hash. Any order gives all links; this one keeps the buckets small.
-Buckets of one word that many near copies share are handled as in problem 1, without all pairs.
+Method: exact prefix-filter bipartite join on rare shingles, single words here as TESTDATA.md defines
+copies by words. With its words in one order, rare ones first, a bag of n words that shares 0.8 n words
+with another shares one of its first n - ceil(0.8 n) + 1 with the other's first ones. The prefixes of
+evaluation records, and of unassigned ones that may connect them to training, are the index; training
+records probe it, and so do the index's own, with length and position filters; overlaps are verified
+exactly. Two training records are never paired, and every other link is found. Groups are the
+components of the links.
+
+The order is that of all words' counts, kept in a table of fixed size by hash (SLOTS); words that share
+a slot count as one. Any order gives all links; this one keeps the buckets small. Buckets of one word that
+many records share are cut by a second word: linked bags share two among one word more of each.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folhetim.llm.components import components
-from folhetim.llm.nearcopies import PAIRED, bucket_links, nodes_of, same_key_links
-from folhetim.llm.spread import some
+from folhetim.llm.nearcopies import PAIRED, Nodes, bucket_links, first_words, word_counts
+from folhetim.llm.spread import Workspace, small
 
-#: So many words are ordered by how often they occur.
-FREQUENT = 20_000
 EVALUATION, TRAINING = ("validacao", "teste"), "treino"
 #: The length and the position filter, for two members of a word's bucket.
-LONGER = "greatest(x.n, y.n)"
-FILTERS = "least(x.n, y.n) * 1000 >= {longer} * {share} and 1 + least(x.n - x.posicao, y.n - y.posicao) >= ceil({longer} * {share} / 1000) and (x.indice or y.indice)"
-
-
-def frequent_words(nodes: DataFrame, most: int = FREQUENT) -> dict[int, int]:
-    """The counts of the ``most`` most frequent words that more than one node has, by hash."""
-    counts = nodes.select(F.explode("palavras").alias("h")).groupBy("h").agg(F.count("*").alias("n")).where("n > 2")
-    return {r["h"]: r["n"] for r in counts.orderBy(F.desc("n"), "h").limit(most).collect()}
-
-
-def prefixes(nodes: DataFrame, frequent: dict[int, int], share: float) -> DataFrame:
-    """``faixa, no, n, posicao, indice``: the first words of each node, rare ones first; ``posicao`` counts from 1."""
-    order = nodes.sparkSession.sparkContext.broadcast(frequent)
-    thousandths = round(share * 1000)
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        known = order.value
-        for b in batches:
-            rows = []
-            for no, bag, index in zip(b["no"], b["palavras"], b["indice"]):
-                n = len(bag)
-                first = n + thousandths * -n // 1000 + 1
-                ordered = sorted(bag.tolist(), key=lambda h: (known.get(h, 0), h))
-                rows += [(h, no, n, i + 1, index) for i, h in enumerate(ordered[:first])]
-            yield from some(pd.DataFrame(rows, columns=["faixa", "no", "n", "posicao", "indice"]))
-
-    return nodes.select("no", "palavras", "indice").mapInPandas(run, "faixa long, no long, n int, posicao int, indice boolean")
+FILTERS = "least(x.n, y.n) * 1000 >= greatest(x.n, y.n) * {share} and 1 + least(x.n - x.posicao, y.n - y.posicao) >= ceil(greatest(x.n, y.n) * {share} / 1000)"
 
 
 def cross_split(records: DataFrame, assigned: DataFrame, share: float = 0.8, paired: int = PAIRED) -> DataFrame:
     """``chave, particao``: the assignments to an evaluation split of a record that is in training too, itself or as a copy.
 
-    ``records``: ``chave, impressao, palavras``; ``assigned``: ``chave, particao``, where repeated and
-    conflicting rows all count, null keys and null or other splits don't. Records without a bag (no or
-    a short text) are found by their key alone.
+    ``records``: ``wordsets.RECORD``; ``assigned``: ``chave, particao``, where repeated and conflicting
+    rows all count, null keys and null or other splits don't. Records without a bag (no or a short text)
+    are found by their key alone. A node that training has, itself or through an equal text, is not of
+    the index, as its other copies are reached from it.
     """
-    nodes, member = nodes_of(records)
-    valid = assigned.where(F.col("chave").isNotNull() & F.col("particao").isin(*EVALUATION, TRAINING)).distinct()
-    training = valid.where(F.col("particao") == TRAINING).select("chave").withColumn("treino", F.lit(True))
-    trained = member.join(training, "chave").select("no").distinct().withColumn("treino", F.lit(True))
-    indexed = nodes.join(trained, "no", "left").select("no", "palavras", F.col("treino").isNull().alias("indice"))
-    worth = FILTERS.format(longer=LONGER, share=round(share * 1000))
-    links = bucket_links(prefixes(indexed, frequent_words(nodes), share), nodes, share, paired, worth)
-    classes = components(links.union(same_key_links(member)))
-    of_class = member.join(classes, "no", "left").select("chave", F.coalesce("classe", "no").alias("classe"))
-    with_training = of_class.join(training, "chave").select("classe").distinct()
-    copies = of_class.join(with_training, "classe", "left_semi").select("chave")
-    return valid.where(F.col("particao") != TRAINING).join(copies.union(training.select("chave")).distinct(), "chave", "left_semi")
+    space = Workspace(records.sparkSession)
+    known = Nodes(records, space)
+    valid = space.write(assigned.where(F.col("chave").isNotNull() & F.col("particao").isin(*EVALUATION, TRAINING)).distinct())
+    training = valid.where(F.col("particao") == TRAINING).select("chave")
+    trained = space.write(known.member().join(training, "chave", "left_semi").select("no").distinct().withColumn("treino", F.lit(True)))
+    told = known.nodes.select("no", "palavras").join(small(trained), "no", "left").select("no", "palavras", F.col("treino").isNull().alias("indice"))
+    counts = word_counts(known.nodes)
+    prefixes = space.write(first_words(told, counts, share, more=1).withColumn("faixa", F.col("palavra")))
+    thousandths = round(share * 1000)
+    members = prefixes.where(f"posicao <= n - ceil(n * {thousandths} / 1000) + 1").drop("palavra")
+
+    def by_second_word(large: DataFrame) -> DataFrame:
+        second = prefixes.select("no", F.col("palavra").alias("outra"))
+        return large.join(second, "no").where("outra <> faixa").withColumn("faixa", F.xxhash64("faixa", "outra")).drop("outra")
+
+    links = bucket_links(members, known.nodes, space, share, paired, FILTERS.format(share=thousandths), by_second_word)
+    of_class = known.classes(links, space)
+    with_training = of_class.join(training, "chave", "left_semi").select("c").distinct()
+    copies = of_class.join(with_training, "c", "left_semi").select("chave")
+    return valid.where(F.col("particao") != TRAINING).join(copies.union(training).distinct(), "chave", "left_semi")

@@ -28,11 +28,16 @@ def table_units(spark: SparkSession, d: str) -> DataFrame:
 # ---- p1
 
 
-def record_groups(spark: SparkSession, d: str) -> DataFrame:
+def records(spark: SparkSession, d: str, signature=None) -> DataFrame:
+    """The bags of the texts of both tables, repaired; problems 1 and 6 form their groups over these."""
     units = text_units(spark, d)
     rows = table_units(spark, d)
     damage = descan.Damage(units, rows.select("texto"))
-    return nearcopies.grouped(bags(spread(units).union(spread(rows)), damage, LEAST_WORDS))
+    return bags(spread(units).union(spread(rows)), damage, LEAST_WORDS, signature)
+
+
+def record_groups(spark: SparkSession, d: str) -> DataFrame:
+    return nearcopies.grouped(records(spark, d, nearcopies.min_max_bands))
 
 
 def p1_groups(spark: SparkSession, d: str) -> DataFrame:
@@ -63,8 +68,7 @@ def p2_reliability(spark: SparkSession, d: str) -> DataFrame:
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     units = text_units(spark, d)
-    done = descan.repaired(spread(units), descan.Damage(units))
-    return done.select(F.col("chave").alias("sentenca_id"), F.explode("defeitos").alias("defeito")).distinct()
+    return descan.defects(spread(units), descan.Damage(units)).withColumnRenamed("chave", "sentenca_id").distinct()
 
 
 def p4_paragraphs(spark: SparkSession, d: str) -> DataFrame:
@@ -92,10 +96,8 @@ def p5_sample(spark: SparkSession, d: str) -> DataFrame:
 
 
 def split_overlap(spark: SparkSession, d: str) -> DataFrame:
-    units = text_units(spark, d)
-    damage = descan.Damage(units)
     assigned = table(spark, d, "particoes").select(F.col("sentenca_id").alias("chave"), "particao")
-    return overlap.cross_split(bags(spread(units), damage, LEAST_WORDS), assigned)
+    return overlap.cross_split(records(spark, d), assigned)
 
 
 def p6_found(spark: SparkSession, d: str) -> DataFrame:

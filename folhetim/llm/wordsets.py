@@ -1,26 +1,25 @@
 """Texts as bags of words, after the repair of problems 4 and 7.
 
 A word is a piece between white space, in lower case, without punctuation or symbols at its ends. A bag
-is an ordered array of 64-bit hashes in which the k-th occurrence of a word counts as a word of its own,
-so that the intersection of two bags as sets counts repeated words right.
+is an ordered row of 64-bit hashes in which the k-th occurrence of a word counts as a word of its own,
+so that the intersection of two bags as sets counts repeated words right. It travels as one binary value.
 """
 
 from __future__ import annotations
 
 import unicodedata
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folhetim.llm.descan import Damage, header_dict, per_unit_fixes, repair, with_headers
-from folhetim.llm.spread import some
-from folhetim.session import checkpointed
+from folhetim.llm.descan import ENDS, REMEMBERED, Damage, Fixer, is_plain, join_lines, over_texts, plain
 
-#: The memory of hashed tokens is emptied beyond so many.
-REMEMBERED = 200_000
+#: A record: its bag's 128-bit print, size, a map of 256 bits with the bit of each word set, and the bag, packed.
+RECORD = "chave string, impressao binary, n int, m0 long, m1 long, m2 long, m3 long, palavras binary"
 
 
 def bare(token: str) -> str:
@@ -41,71 +40,141 @@ def signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-class Hasher:
-    """Bags of hashes of texts."""
+class Hasher(dict):
+    """Tokens, put right by ``fixer``, to the hashes of their words; 0 where no word is left."""
+
+    def __init__(self, fixer: Fixer | None = None) -> None:
+        super().__init__()
+        self.fixer = fixer
+
+    def __missing__(self, token: str) -> int:
+        if len(self) >= REMEMBERED:
+            self.clear()
+        word = token.strip(ENDS)
+        if is_plain(word):
+            # its ends are letters or figures, so it is bare
+            word = word.lower()
+            if self.fixer is not None and word in self.fixer.lexicon:
+                word = bare(self.fixer.lexicon[word])
+        else:
+            fixed = self.fixer.worked_out(token) if self.fixer is not None else None
+            word = bare(fixed[0] if fixed else token)
+        out = self[token] = signed(xxhash.xxh64_intdigest(word)) if word else 0
+        return out
 
-    def __init__(self) -> None:
-        self.known: dict[str, int] = {}
+    def hashes(self, text: str) -> list[int]:
+        """The hashes of the text's words, as they stand."""
+        return [h for h in map(self.__getitem__, text.split()) if h]
 
     def bag(self, text: str) -> list[int]:
-        """The sorted hashes of the text's words."""
-        known, seen, out = self.known, {}, []
-        if len(known) > REMEMBERED:
-            known.clear()
-        for token in text.split():
-            h = known.get(token)
-            if h is None:
-                w = bare(token)
-                h = known[token] = signed(xxhash.xxh64_intdigest(w)) if w else 0
-            if h:
-                k = seen.get(h, 0)
-                seen[h] = k + 1
-                out.append(h if not k else signed(xxhash.xxh64_intdigest(f"{h}#{k}")))
-        out.sort()
-        return out
+        """The text's bag."""
+        found = self.hashes(text)
+        return told_apart(np.array(found, np.int64), np.array([len(found)])).tolist()
+
+
+def starts_of(sizes: np.ndarray) -> np.ndarray:
+    return np.concatenate([[0], np.cumsum(sizes)[:-1]]).astype(np.int64)
+
+
+def told_apart(flat: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The words of each text in the order of their hashes, the k-th occurrence of a word mixed with k."""
+    row = np.repeat(np.arange(len(sizes)), sizes)
+    out = flat[np.lexsort((flat, row))].view(np.uint64)
+    fresh = np.ones(len(out), bool)
+    fresh[1:] = (out[1:] != out[:-1]) | (row[1:] != row[:-1])
+    at = np.arange(len(out))
+    k = (at - np.maximum.accumulate(np.where(fresh, at, 0))).astype(np.uint64)
+    mixed = (out ^ k * np.uint64(0x9E3779B97F4A7C15)) * np.uint64(0xC2B2AE3D27D4EB4F)
+    return np.where(fresh, out, mixed ^ mixed >> np.uint64(29)).view(np.int64)
+
+
+def word_maps(flat: np.ndarray, starts: np.ndarray) -> list[np.ndarray]:
+    """The four words of each bag's map of 256 bits."""
+    bit = np.left_shift(np.uint64(1), (flat & 63).astype(np.uint64))
+    part = flat >> 6 & 3
+    return [np.bitwise_or.reduceat(np.where(part == k, bit, np.uint64(0)), starts).view(np.int64) for k in range(4)]
 
 
-def bags(units: DataFrame, damage: Damage, least: int) -> DataFrame:
-    """``chave, impressao binary, n, m0 to m3, palavras array<long>`` of the units whose repaired text has ``least`` words or more.
+def packed(rows: np.ndarray, sizes: np.ndarray) -> pa.Array:
+    """Numbers of 64 bits, so many a row, as one binary value a row."""
+    ends = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32) * 8
+    return pa.Array.from_buffers(pa.binary(), len(sizes), [None, pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(np.ascontiguousarray(rows))])
 
-    ``units``: ``relatorio, pagina, chave, texto``. Null texts and shorter ones have no row.
-    ``impressao`` is 128 bits of the bag: equal for equal bags. ``n`` is its number of words, ``m0`` to
-    ``m3`` a map of 256 bits with the bit of each word's hash set.
+
+def unpacked(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """What ``packed`` made: all numbers, and how many each row has."""
+    ends = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1]
+    data = column.buffers()[2]
+    return (np.frombuffer(data, np.int64, (ends[-1] - ends[0]) // 8, ends[0]) if data is not None else np.empty(0, np.int64)), np.diff(ends).astype(np.int64) // 8
+
+
+def records_of(keys: list[str], flat: np.ndarray, sizes: np.ndarray, least: int = 1, signature: Callable | None = None) -> pa.RecordBatch:
+    """A batch of ``RECORD`` of the bags of ``least`` words or more; ``signature(flat, starts)`` adds ``faixas``, an equal number of keys each."""
+    enough = sizes >= max(1, least)
+    flat, sizes, kept = flat[np.repeat(enough, sizes)], sizes[enough], [k for k, e in zip(keys, enough) if e]
+    starts = starts_of(sizes) if kept else sizes
+    maps = word_maps(flat, starts) if kept else [flat] * 4
+    prints = [xxhash.xxh3_128_digest(flat[s : s + n].tobytes()) for s, n in zip(starts, sizes)]
+    columns = {"chave": pa.array(kept, pa.string()), "impressao": pa.array(prints, pa.binary()), "n": pa.array(sizes, pa.int32())}
+    columns |= {f"m{k}": pa.array(m, pa.int64()) for k, m in enumerate(maps)} | {"palavras": packed(flat, sizes)}
+    if signature is not None:
+        found = signature(flat, starts) if kept else np.empty((0, 1), np.int64)
+        columns["faixas"] = packed(found.ravel(), np.full(len(kept), found.shape[1]))
+    return pa.RecordBatch.from_pydict(columns)
+
+
+def bags(units: DataFrame, damage: Damage, least: int, signature: Callable | None = None) -> DataFrame:
+    """A row of ``RECORD`` for each unit whose repaired text has ``least`` words or more; with ``signature`` also ``faixas binary``.
+
+    ``units``: ``relatorio, pagina, chave, texto``. Null texts and shorter ones have no row. Each text is
+    read, repaired and hashed in one pass.
     """
-    spark = units.sparkSession
-    fixes = damage.words_to_fix()
-    ready = with_headers(units.where(F.col("texto").isNotNull()), damage.headers)
-    if fixes is None:
-        ready = per_unit_fixes(checkpointed(ready.withColumn("linha_n", F.monotonically_increasing_id())), damage.lexicon)
-        shared = None
-    else:
-        ready = ready.withColumn("correcoes", F.lit(None).cast("map<string,string>"))
-        shared = spark.sparkContext.broadcast(fixes)
-    # headers matter for texts of several lines alone
-    ready = ready.withColumn("cabecalhos", F.when(F.col("texto").contains("\n"), F.col("cabecalhos")))
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        lexicon = shared.value if shared is not None else {}
-        hasher = Hasher()
-        for b in batches:
-            keys, prints, maps, found = [], [], [], []
-            for key, text, page, last, header, own in zip(b["chave"], b["texto"], b["pagina"], b["ultima_pagina"], b["cabecalhos"], b["correcoes"]):
-                clean, _ = repair(text, None if page != page else page, None if last != last else last, header_dict(header), lexicon if own is None else dict(own))
-                bag = hasher.bag(clean)
-                if len(bag) >= least:
-                    keys.append(key)
-                    prints.append(xxhash.xxh3_128_digest(repr(bag)))
-                    bits = 0
-                    for h in bag:
-                        bits |= 1 << (h & 255)
-                    maps.append([signed(bits >> k & 0xFFFFFFFFFFFFFFFF) for k in (0, 64, 128, 192)])
-                    found.append(bag)
-            yield from some(pd.DataFrame({"chave": keys, "impressao": prints, "n": [len(x) for x in found], **{f"m{k}": [m[k] for m in maps] for k in range(4)}, "palavras": found}))
-
-    return ready.select("chave", "texto", "pagina", "ultima_pagina", "cabecalhos", "correcoes").mapInPandas(run, "chave string, impressao binary, n int, m0 long, m1 long, m2 long, m3 long, palavras array<long>")
-
-
-def linked(a: str = "palavras_a", b: str = "palavras_b", share: float = 0.8) -> F.Column:
-    """Whether the words in common are at least ``share`` of the longer bag, in whole numbers."""
-    longer = F.greatest(F.size(a), F.size(b))
-    return F.size(F.array_intersect(F.col(a), F.col(b))) * 1000 >= longer * round(share * 1000)
+
+    def make() -> Callable:
+        hashers: dict[int, Hasher] = {}
+
+        def hasher(fixer: Fixer) -> Hasher:
+            if fixer.shared:
+                return hashers.setdefault(0, Hasher(fixer))
+            return Hasher(fixer)
+
+        def batch(keys: list, texts: list, mend: Callable) -> pa.RecordBatch:
+            hashes: list[int] = []
+            sizes = np.zeros(len(keys), np.int64)
+            for i, text in enumerate(texts):
+                if len(text.split()) < least:  # the repair joins words, it makes no more of them
+                    continue
+                page, last, header, fixer = mend(i)
+                found = hasher(fixer).hashes(join_lines(plain(text), page, last, header, fixer.lexicon)[0])
+                hashes += found
+                sizes[i] = len(found)
+            return records_of(keys, told_apart(np.array(hashes, np.int64), sizes), sizes, least, signature)
+
+        return batch
+
+    schema = RECORD + (", faixas binary" if signature is not None else "")
+    return over_texts(units.where(F.col("texto").isNotNull()), damage, make, schema)
+
+
+def in_common(left: pa.Array, right: pa.Array) -> np.ndarray:
+    """How many words the bags of two columns have in common, row by row."""
+    (a, na), (b, nb) = unpacked(left), unpacked(right)
+    row = np.concatenate([np.repeat(np.arange(len(na)), na), np.repeat(np.arange(len(nb)), nb)])
+    flat = np.concatenate([a, b])
+    order = np.lexsort((flat, row))
+    row, flat = row[order], flat[order]
+    twice = (flat[1:] == flat[:-1]) & (row[1:] == row[:-1])
+    return np.bincount(row[1:][twice], minlength=len(na))
+
+
+def linked_pairs(pairs: DataFrame, share: float = 0.8) -> DataFrame:
+    """``a, b`` of ``a, b, palavras_a, palavras_b`` whose words in common are at least ``share`` of the longer bag, in whole numbers."""
+    thousandths = round(share * 1000)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            a, b = batch.column("palavras_a"), batch.column("palavras_b")
+            longer = np.maximum(unpacked(a)[1], unpacked(b)[1])
+            yield batch.select(["a", "b"]).filter(pa.array(in_common(a, b) * 1000 >= longer * thousandths))
+
+    return pairs.select("a", "b", "palavras_a", "palavras_b").mapInArrow(run, "a long, b long")

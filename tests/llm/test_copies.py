@@ -2,21 +2,17 @@
 
 import random
 
+import numpy as np
 import pytest
 
 from folhetim.llm import components, nearcopies, overlap, wordsets
 
-RECORD = "chave string, impressao binary, n int, m0 long, m1 long, m2 long, m3 long, palavras array<long>"
+RECORD = wordsets.RECORD + ", faixas binary"
 
 
 def record(key, text):
-    import xxhash
-
-    bag = wordsets.Hasher().bag(text)
-    bits = 0
-    for h in bag:
-        bits |= 1 << (h & 255)
-    return (key, xxhash.xxh3_128_digest(repr(bag)), len(bag), *[wordsets.signed(bits >> k & (2**64 - 1)) for k in (0, 64, 128, 192)], bag)
+    bag = np.array(wordsets.Hasher().bag(text))
+    return tuple(wordsets.records_of([key], bag, np.array([len(bag)]), 1, nearcopies.min_max_bands).to_pylist()[0].values())
 
 
 def texts(seed=1, families=25, hot=120):
