@@ -20,14 +20,13 @@ from __future__ import annotations
 
 import re
 import unicodedata
-from collections import Counter
 from collections.abc import Callable, Iterator
 from difflib import SequenceMatcher
 from functools import lru_cache
-from itertools import chain
 
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -153,27 +152,38 @@ def misread_of(seen: str, meant: str) -> bool:
     return seen != meant and go(0, 0)
 
 
-def _count_words(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    counts: Counter = Counter()
+def token_counts(texts: pa.Array) -> pa.Table:
+    """``token, n`` of an array of texts in their one form."""
+    counted = pc.value_counts(pc.utf8_split_whitespace(texts).flatten())
+    return pa.table({"token": counted.field("values"), "n": counted.field("counts")})
 
-    def out() -> pd.DataFrame:
-        words: Counter = Counter()
-        for token, n in counts.items():
-            if len(w := core(token)) > 1 and (w.isalpha() or LETTERS_RE.search(w)):
-                words[w] += n
-        counts.clear()
-        return pd.DataFrame({"palavra": list(words), "n": list(words.values())})
+
+def words_of_tokens(tokens: pa.Table) -> pa.Table:
+    """``palavra, n`` of ``token, n``: what is left without punctuation at the ends, in lower case; of two characters or more, with a letter."""
+    bare = pc.utf8_trim(tokens["token"], characters=ENDS)
+    kept = pc.and_(pc.greater(pc.utf8_length(bare), 1), pc.match_substring_regex(bare, r"\p{L}"))
+    words = pa.table({"palavra": pc.utf8_lower(bare), "n": tokens["n"]}).filter(kept)
+    return words.group_by("palavra").aggregate([("n", "sum")]).rename_columns({"n_sum": "n"})
+
+
+def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    held: list[pa.Table] = []
+
+    def out() -> Iterator[pa.RecordBatch]:
+        if held:
+            yield from words_of_tokens(pa.concat_tables(held)).combine_chunks().to_batches(max_chunksize=10_000)
+        held.clear()
 
     for b in batches:
-        counts.update(chain.from_iterable(plain(t).split() for t in b.iloc[:, 0] if t is not None))
-        if len(counts) > 500_000:
-            yield from some(out())
-    yield from some(out())
+        held.append(token_counts(pa.array([plain(t) for t in b.column(0).to_pylist() if t is not None], pa.string())))
+        if sum(map(len, held)) > 1_000_000:
+            yield from out()
+    yield from out()
 
 
 def vocabulary(texts: DataFrame) -> DataFrame:
     """All words of a one-column frame of texts, in lower case: ``palavra, n``; a repeated text counts once."""
-    return texts.distinct().mapInPandas(_count_words, "palavra string, n long").groupBy("palavra").agg(F.sum("n").alias("n"))
+    return texts.distinct().mapInArrow(_count_words, "palavra string, n long").groupBy("palavra").agg(F.sum("n").alias("n"))
 
 
 def _confirm(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -182,18 +192,22 @@ def _confirm(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield from some(b[keep])
 
 
+def keyed(words: DataFrame) -> DataFrame:
+    """``words`` with ``chave``, a hash of the skeleton without hyphens."""
+    return words.withColumn("chave", F.xxhash64(skeleton_column(F.replace("palavra", F.lit("-"), F.lit("")))))
+
+
 def corrections(words: DataFrame, space: Workspace) -> DataFrame:
     """``palavra, correta``: the misread words of a vocabulary and compounds written without their hyphen.
 
     Of the words with one skeleton the most frequent made of letters alone is the target (the first in
     order on a tie); others are corrected if they are rarer by TIMES and differ by confusions alone.
-    ``words`` is a written table: it is read, not worked out, for each of the joins.
+    ``words`` is a written table of ``keyed`` words: it is read, not worked out, for each of the joins.
     """
-    keyed = words.withColumn("chave", F.xxhash64(skeleton_column(F.replace("palavra", F.lit("-"), F.lit("")))))
-    right = keyed.where((F.col("n") >= LEAST) & F.col("palavra").rlike(r"^[\p{L}µ]+(-[\p{L}]+)*$"))
+    right = words.where((F.col("n") >= LEAST) & F.col("palavra").rlike(r"^[\p{L}µ]+(-[\p{L}]+)*$"))
     targets = space.write(right.groupBy("chave").agg(F.max(F.struct("n", F.col("palavra").alias("w"))).alias("alvo")))
     near = small(targets)
-    seen = keyed.join(near, "chave").where(f"n * {TIMES} <= alvo.n and palavra <> alvo.w").select("palavra", F.col("alvo.w").alias("correta"))
+    seen = words.join(near, "chave").where(f"n * {TIMES} <= alvo.n and palavra <> alvo.w").select("palavra", F.col("alvo.w").alias("correta"))
     compounds = near.where("alvo.w like '%-%'").select(F.replace("alvo.w", F.lit("-"), F.lit("")).alias("junta"), F.col("alvo.w").alias("correta"), F.col("alvo.n").alias("vezes"))
     as_one = words.join(compounds, F.col("junta") == F.col("palavra")).where(f"n * {TIMES} > vezes").select("junta")
     unhyphened = compounds.join(as_one, "junta", "left_anti").select(F.col("junta").alias("palavra"), "correta")
@@ -395,6 +409,7 @@ class Fixer(dict):
         """``shared``: whether the lexicon is that of all texts, not of one."""
         super().__init__()
         self.lexicon, self.shared = lexicon, shared
+        self.keys_in_arrow = pa.array(list(lexicon), pa.string()) if lexicon else None
 
     def __missing__(self, token: str) -> tuple[str, bool] | None:
         if len(self) >= REMEMBERED:
@@ -429,7 +444,7 @@ class Damage:
         self.space = space = Workspace(units.sparkSession)
         there = units.where("texto is not null")
         texts = there.select("texto") if other_texts is None else there.select("texto").union(other_texts.where("texto is not null"))
-        words = space.write(vocabulary(texts))
+        words = space.write(keyed(vocabulary(texts)))
         lines = space.write(lines_of_units(there))
         breaks = lines.select(F.explode("quebras").alias("palavra")).distinct()
         self.headers = headers(there, lines, space)

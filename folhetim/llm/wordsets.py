@@ -11,12 +11,14 @@ import unicodedata
 from collections.abc import Callable, Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folhetim.llm.descan import ENDS, REMEMBERED, Damage, Fixer, is_plain, join_lines, over_texts, plain
+from folhetim.llm.descan import ENDS, FIGURES_RE, Damage, Fixer, join_lines, over_texts, plain
 
 #: A record: its bag's 128-bit print, size, a map of 256 bits with the bit of each word set, and the bag, packed.
 RECORD = "chave string, impressao binary, n int, m0 long, m1 long, m2 long, m3 long, palavras binary"
@@ -36,40 +38,33 @@ def words(text: str) -> list[str]:
     return [w for t in text.split() if (w := bare(t))]
 
 
-def signed(x: int) -> int:
-    return x - (1 << 64) if x >> 63 else x
+def word_hashes(tokens: pa.Array, fixer: Fixer | None = None) -> np.ndarray:
+    """The hashes of the words that tokens are, put right by ``fixer``; 0 where no word is left."""
+    words = pc.utf8_trim(tokens, characters=ENDS)
+    # of letters or of figures alone, a word is bare, and nothing but the lexicon can change it
+    simple = pc.or_(pc.utf8_is_alpha(words), pc.match_substring_regex(words, FIGURES_RE.pattern.join("^$")))
+    words = pc.utf8_lower(words).to_numpy(zero_copy_only=False)
+    odd = pc.invert(simple)
+    if fixer is not None and fixer.keys_in_arrow is not None:
+        odd = pc.or_(odd, pc.is_in(pa.array(words, pa.string()), value_set=fixer.keys_in_arrow))
+    for i, token in zip(np.flatnonzero(odd.to_numpy(zero_copy_only=False)), tokens.filter(odd).to_pylist()):
+        fixed = fixer.worked_out(token) if fixer is not None else None
+        words[i] = bare(fixed[0] if fixed else token)
+    return np.where(words == "", 0, pd.util.hash_array(words, categorize=False).view(np.int64))
 
 
-class Hasher(dict):
-    """Tokens, put right by ``fixer``, to the hashes of their words; 0 where no word is left."""
+def bags_of(texts: list[str], fixer: Fixer | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """The bags of texts, one after the other, and how many words each has."""
+    split = pc.utf8_split_whitespace(pa.array(texts, pa.string()))
+    tokens = split.flatten().dictionary_encode()
+    flat = word_hashes(tokens.dictionary, fixer)[tokens.indices.to_numpy(zero_copy_only=False)] if len(tokens) else np.empty(0, np.int64)
+    row = np.repeat(np.arange(len(texts)), split.value_lengths().to_numpy(zero_copy_only=False))[flat != 0]
+    sizes = np.bincount(row, minlength=len(texts))
+    return told_apart(flat[flat != 0], sizes), sizes
 
-    def __init__(self, fixer: Fixer | None = None) -> None:
-        super().__init__()
-        self.fixer = fixer
 
-    def __missing__(self, token: str) -> int:
-        if len(self) >= REMEMBERED:
-            self.clear()
-        word = token.strip(ENDS)
-        if is_plain(word):
-            # its ends are letters or figures, so it is bare
-            word = word.lower()
-            if self.fixer is not None and word in self.fixer.lexicon:
-                word = bare(self.fixer.lexicon[word])
-        else:
-            fixed = self.fixer.worked_out(token) if self.fixer is not None else None
-            word = bare(fixed[0] if fixed else token)
-        out = self[token] = signed(xxhash.xxh64_intdigest(word)) if word else 0
-        return out
-
-    def hashes(self, text: str) -> list[int]:
-        """The hashes of the text's words, as they stand."""
-        return [h for h in map(self.__getitem__, text.split()) if h]
-
-    def bag(self, text: str) -> list[int]:
-        """The text's bag."""
-        found = self.hashes(text)
-        return told_apart(np.array(found, np.int64), np.array([len(found)])).tolist()
+def bag(text: str) -> np.ndarray:
+    return bags_of([text])[0]
 
 
 def starts_of(sizes: np.ndarray) -> np.ndarray:
@@ -131,24 +126,17 @@ def bags(units: DataFrame, damage: Damage, least: int, signature: Callable | Non
     """
 
     def make() -> Callable:
-        hashers: dict[int, Hasher] = {}
-
-        def hasher(fixer: Fixer) -> Hasher:
-            if fixer.shared:
-                return hashers.setdefault(0, Hasher(fixer))
-            return Hasher(fixer)
-
         def batch(keys: list, texts: list, mend: Callable) -> pa.RecordBatch:
-            hashes: list[int] = []
-            sizes = np.zeros(len(keys), np.int64)
-            for i, text in enumerate(texts):
-                if len(text.split()) < least:  # the repair joins words, it makes no more of them
-                    continue
-                page, last, header, fixer = mend(i)
-                found = hasher(fixer).hashes(join_lines(plain(text), page, last, header, fixer.lexicon)[0])
-                hashes += found
-                sizes[i] = len(found)
-            return records_of(keys, told_apart(np.array(hashes, np.int64), sizes), sizes, least, signature)
+            # the repair joins words, it makes no more of them
+            long = [i for i, t in enumerate(texts) if len(t.split()) >= least]
+            needs = [mend(i) for i in long]
+            whole = [join_lines(plain(texts[i]), page, last, header, fixer.lexicon)[0] for i, (page, last, header, fixer) in zip(long, needs)]
+            if needs and not needs[0][3].shared:
+                found = [bags_of([t], need[3]) for t, need in zip(whole, needs)]
+                flat, sizes = (np.concatenate(x) for x in zip(*found))
+            else:
+                flat, sizes = bags_of(whole, needs[0][3] if needs else None)
+            return records_of([keys[i] for i in long], flat, sizes, least, signature)
 
         return batch
 
