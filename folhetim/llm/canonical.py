@@ -35,14 +35,14 @@ LOOK_ALIKES = {
 INVISIBLE = "\u00ad\u034f\u061c\u115f\u1160\u17b4\u17b5\u180b-\u180f\u200b-\u200f\u202a-\u202e\u2060-\u2064\u2066-\u206f\ufe00-\ufe0f\ufeff\ufff9-\ufffb"
 #: Blanks other than the ordinary space, line breaks and tabs.
 BLANKS = "\u00a0\u1680\u2000-\u200a\u202f\u205f\u3000"
-#: Full-width forms of ASCII, and their distance to it.
-FULL_WIDTH, WIDTH_OFFSET = "\uff01-\uff5e", 0xFEE0
+#: Full-width and half-width forms.
+WIDTHS = "\uff01-\uffee"
 #: Accents as characters of their own.
 ACCENTS = "\u0300-\u036f\u1ab0-\u1aff\u1dc0-\u1dff\u20d0-\u20ff\ufe20-\ufe2f"
 #: The scripts whose letters can stand for Latin ones.
 SCRIPTS = "\u0370-\u03ff\u0400-\u052f\u0530-\u058f"
 
-AFFECTED = f"[{INVISIBLE}{BLANKS}{FULL_WIDTH}{ACCENTS}{''.join(LOOK_ALIKES)}]"
+AFFECTED = f"[{INVISIBLE}{BLANKS}{WIDTHS}{ACCENTS}{''.join(LOOK_ALIKES)}]"
 
 #: A class of few ranges that holds AFFECTED, for the JVM: what is not plain text of these reports.
 COARSE = r"[^\x00-\x9f\xa1-\xac\xae-\u0130\u0132-\u0260\u0262-\u02ff\u03b1-\u03b8\u2013\u2014\u2020\u2022\u20ac\u2264\u2265]"
@@ -61,7 +61,9 @@ def mapping() -> dict[str, str]:
     result can't depend on the order of rules and a second pass changes nothing.
     """
     rules = [(c, "") for c in members(INVISIBLE)] + [(c, " ") for c in members(BLANKS)]
-    rules += [(c, chr(ord(c) - WIDTH_OFFSET)) for c in members(FULL_WIDTH)] + list(LOOK_ALIKES.items())
+    # Unicode gives a form of another width as '<wide>' or '<narrow>' and the number of the usual one
+    forms = [(c, unicodedata.decomposition(c).split()) for c in members(WIDTHS)]
+    rules += [(c, chr(int(d[1], 16))) for c, d in forms if len(d) == 2 and chr(int(d[1], 16)) not in members(INVISIBLE)] + list(LOOK_ALIKES.items())
     table: dict[str, str] = {}
     for source, target in rules:
         if table.setdefault(source, target) != target:
@@ -76,7 +78,7 @@ class Transducer:
 
     def __init__(self) -> None:
         self.table = mapping()
-        mapped = f"{BLANKS}{FULL_WIDTH}{''.join(LOOK_ALIKES)}"
+        mapped = f"{BLANKS}{WIDTHS}{''.join(LOOK_ALIKES)}"
         accented = f"[^\\s{INVISIBLE}{ACCENTS}][{INVISIBLE}]*(?:[{ACCENTS}][{INVISIBLE}]*)+"
         self.cluster = re.compile(f"{accented}|[{mapped}]|[{INVISIBLE}]+|[{ACCENTS}]+")
         #: letters of other scripts that look like no Latin one: a real foreign word has them

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from folhetim.llm.spread import some
 
-#: So many documents, the first by hash of their key, are looked at for the dictionaries.
+#: About so many documents, those with the least hashes of their key, are looked at for the dictionaries.
 SAMPLE = 2_000
 DICTIONARY_BYTES = 65_536
 #: Bytes that one step of a chain costs.
@@ -38,6 +38,8 @@ PLAIN = r"\x00-\x7eáàâãäçéêëèíïóôõöúüñÁÀÂÃÇÉÊÍÓÔÕ
 SUSPECT = rf"[^{PLAIN}]|[a-zà-ÿ][À-Þ]|[ÃÂ][^A-Za-zÀ-ÿ\s]|[ÃÂ]\u00a0"
 #: Text lost in a decoding that replaced what it could not read.
 LOST = r"\ufffd|\p{L}\?+\p{L}|[\x80-\x9f]"
+#: Addresses, whose question marks are right.
+ADDRESS_RE = re.compile(r"\S*(?:://|www\.|[?&]\w+=)\S*")
 LOST_RE = re.compile("\ufffd|[^\\W\\d_]\\?+[^\\W\\d_]|[\x80-\x9f]")
 SUSPECT_RE = re.compile(SUSPECT)
 RUN_RE = re.compile(r"[^\x00-\x7f]+")
@@ -65,6 +67,10 @@ def to_bytes(run: str, codec: str) -> bytes:
     return run.encode(codec)
 
 
+def is_lost(text: str) -> bool:
+    return bool(LOST_RE.search(text)) and bool(LOST_RE.search(ADDRESS_RE.sub(" ", text)))
+
+
 def undo(text: str, read_as: str, was: str) -> str:
     """``text`` with each run of non-ASCII characters decoded anew where that can be done."""
 
@@ -126,16 +132,22 @@ class Restorer:
             done = [self.line(s, language, used) for s in lines]
         chains = sorted({"+".join(c) for _, c in done if c})
         whole = "\n".join(s for s, _ in done)
-        return whole, " | ".join(chains), bool(LOST_RE.search(whole))
+        return whole, " | ".join(chains), is_lost(whole)
 
 
 def dictionaries(documents: DataFrame, key: str, text: str, language: str, sample: int = SAMPLE) -> dict[str, bytes]:
-    """A dictionary per language of a bounded sample; clean texts alone go in."""
-    rows = documents.where(F.col(text).isNotNull() & F.col(language).isNotNull()).select(language, text, F.xxhash64(key).alias("h")).orderBy("h").limit(sample).collect()
+    """A dictionary per language of a bounded sample; clean texts alone go in, whole.
+
+    The sample are the documents below a hash that so many are expected under: each partition sends its
+    own share, however many partitions there are.
+    """
+    there = documents.where(F.col(text).isNotNull() & F.col(language).isNotNull())
+    part = min(1.0, sample / max(1, there.count()))
+    rows = there.where(F.pmod(F.xxhash64(key), F.lit(1 << 30)) < int(part * (1 << 30))).select(language, text).collect()
     by: dict[str, list[bytes]] = {}
     for r in rows:
-        if not SUSPECT_RE.search(r[text]) and not LOST_RE.search(r[text]):
-            by.setdefault(r[language], []).append(r[text][:20_000].encode())
+        if not SUSPECT_RE.search(r[text]) and not is_lost(r[text]):
+            by.setdefault(r[language], []).append(r[text].encode())
     out = {}
     for k, texts in by.items():
         lines = [s for t in texts for s in t.split(b"\n") if len(s) > 20]

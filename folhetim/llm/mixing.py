@@ -16,7 +16,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-BLOCKS = 64
+#: Running sums within a pass of a source are taken in blocks of about so many documents, side by side.
+BLOCK_ITEMS = 250_000
 #: A source starts with its weight times 1 + TILT or 1 - TILT, and ends with the other, by the parity of its hash.
 TILT = 0.25
 
@@ -34,11 +35,6 @@ def source_totals(sized: DataFrame, targets: DataFrame) -> DataFrame:
     return own.join(F.broadcast(total))
 
 
-def unreachable(totals: DataFrame) -> DataFrame:
-    """The sources whose cap times their tokens is less than their weight of the total."""
-    return totals.where("max_repeticoes * tokens < peso_alvo * total").select("source")
-
-
 def shares(totals: DataFrame) -> DataFrame:
     """Per source what it is asked for and gives: ``source, peso_alvo, pedido, usado, repeticoes, parcela, alcancado``."""
     asked = F.col("peso_alvo") * F.col("total")
@@ -63,18 +59,20 @@ def position(done: Column, share: Column, tilt: Column) -> Column:
     return F.when(F.abs(tilt) < 1e-9, done).otherwise((b - F.sqrt(b * b - 4 * tilt * done)) / (2 * tilt))
 
 
-def mix(sized: DataFrame, targets: DataFrame, key: str, seed: int = 42, blocks: int = BLOCKS) -> DataFrame:
+def mix(sized: DataFrame, totals: DataFrame, key: str, seed: int = 42) -> DataFrame:
     """``posicao, key, source, passagem, tokens``: the mix in training order.
 
-    ``sized``: ``key, source, tokens``. A source's passes take its documents whole, in an order of their
+    ``sized``: ``key, source, tokens``; ``totals``: its ``source_totals``. A source's passes take its documents whole, in an order of their
     own, until its demand is met: the document that reaches the demand is the last, so a source gives its
     demand up to one document. Sources without target or document, and documents without tokens, don't
     take part.
     """
-    goals = shares(source_totals(sized, targets)).where("usado > 0").select("source", F.col("usado").alias("pedido"), "repeticoes", F.col("tokens").alias("fonte_tokens"))
+    most = totals.agg(F.max("documentos")).first()[0] or 1
+    blocks = 1 << (-(-most // BLOCK_ITEMS) - 1).bit_length()
+    goals = shares(totals).where("usado > 0").select("source", F.col("usado").alias("pedido"), "repeticoes", F.col("tokens").alias("fonte_tokens"))
     live = sized.where("tokens > 0").join(goals, "source")
     copies = live.withColumn("passagem", F.explode(F.sequence(F.lit(1), F.col("repeticoes"))))
-    keyed = copies.withColumn("sorte", F.xxhash64(F.lit(seed), "passagem", key)).withColumn("bloco", F.shiftrightunsigned("sorte", 64 - blocks.bit_length() + 1).cast("int"))
+    keyed = copies.withColumn("sorte", F.xxhash64(F.lit(seed), "passagem", key)).withColumn("bloco", (F.shiftrightunsigned("sorte", 65 - blocks.bit_length()).cast("int") if blocks > 1 else F.lit(0)))
     within, _ = cumulative(F.col("tokens"), ["source", "passagem"], ["sorte", key])
     sums = keyed.groupBy("source", "passagem", "bloco").agg(F.sum("tokens").alias("t"))
     before = Window.partitionBy("source", "passagem").orderBy("bloco").rowsBetween(Window.unboundedPreceding, -1)
@@ -85,3 +83,25 @@ def mix(sized: DataFrame, targets: DataFrame, key: str, seed: int = 42, blocks:
     tilt = F.when(F.pmod(F.xxhash64(F.lit(seed), "source"), F.lit(2)) == 0, TILT).otherwise(-TILT)
     placed = used.withColumn("posicao", position(done, F.lit(1.0), tilt))
     return placed.select("posicao", key, "source", "passagem", "tokens").orderBy("posicao", key, "passagem")
+
+
+def reached(mixed: DataFrame, totals: DataFrame) -> DataFrame:
+    """Per source what the mix holds of it: ``source, pedido, usado, passagens, de, ate``; 0 tokens where it has none.
+
+    ``de`` and ``ate`` are its first and last position in training.
+    """
+    own = mixed.groupBy("source").agg(F.sum("tokens").alias("usado"), F.max("passagem").alias("passagens"), F.min("posicao").alias("de"), F.max("posicao").alias("ate"))
+    asked = totals.select("source", (F.col("peso_alvo") * F.col("total")).alias("pedido"))
+    return asked.join(own, "source", "left").withColumns({"usado": F.coalesce("usado", F.lit(0)), "passagens": F.coalesce("passagens", F.lit(0))})
+
+
+def left_short(mixed: DataFrame, totals: DataFrame) -> DataFrame:
+    """The sources of which the mix holds less than their weight asks for, all their passes used: ``source``."""
+    return reached(mixed, totals).where("usado < pedido").select("source")
+
+
+def violations(mixed: DataFrame, totals: DataFrame, key: str) -> DataFrame:
+    """One row of counts that are 0 in a right mix: sources used too often, more than a document over their demand, or short though they need not be; documents repeated in a pass; positions outside 0 to 1."""
+    rows = mixed.groupBy("source").agg(F.sum("tokens").alias("usado"), F.max("tokens").alias("maior"), F.max("passagem").alias("passagens"), F.count_if(~F.col("posicao").between(0, 1)).alias("fora"), (F.count("*") - F.count_distinct(key, "passagem")).alias("repetidos"))
+    both = shares(totals).withColumnRenamed("usado", "podia").join(rows, "source", "left").fillna(0)
+    return both.agg(F.count_if(F.expr("passagens > max_repeticoes")).alias("demais"), F.count_if(F.expr("usado >= podia + maior and usado > 0")).alias("acima"), F.count_if(F.expr("usado < floor(podia)")).alias("abaixo"), F.sum("fora").alias("fora"), F.sum("repetidos").alias("repetidos"))

@@ -15,14 +15,14 @@ from __future__ import annotations
 from bisect import bisect_left, insort
 from collections import defaultdict
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from folhetim.llm.spread import written
 
 CAPACITY = 4096
-#: Items of one size are numbered in so many blocks at once.
-BLOCKS = 64
+#: Items of one size are numbered in blocks of about so many, side by side.
+BLOCK_ITEMS = 250_000
 
 
 def plan_containers(counts: dict[int, int], capacity: int) -> list[tuple[int, tuple[int, ...]]]:
@@ -85,12 +85,10 @@ def plan_containers(counts: dict[int, int], capacity: int) -> list[tuple[int, tu
     return [(n, sizes) for g in sorted(gaps) for n, sizes in gaps[g]]
 
 
-def ranked(items: DataFrame, key: str, size: str, blocks: int = BLOCKS) -> DataFrame:
-    """``items`` with ``posto``, a number from 0 within its size, counted in blocks side by side."""
+def ranked(items: DataFrame, key: str, size: str, blocks: int) -> DataFrame:
+    """``items`` with ``posto``, a number from 0 within its size, counted in so many blocks side by side."""
     blocked = items.withColumn("bloco", F.pmod(F.xxhash64(key), F.lit(blocks)))
     sizes = blocked.groupBy(size, "bloco").count()
-    from pyspark.sql import Window
-
     before = Window.partitionBy(size).orderBy("bloco").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sizes.withColumn("antes", F.coalesce(F.sum("count").over(before), F.lit(0))).drop("count")
     own = Window.partitionBy(size, "bloco").orderBy(key, "parte")
@@ -129,7 +127,21 @@ def pack(sized: DataFrame, key: str, capacity: int = CAPACITY) -> DataFrame:
     steps = spark.createDataFrame(rows, "t int, de long, ate long, por int, primeiro long")
     # a size's steps are few: they are found by the size and the item's rank
     ordered = steps.groupBy("t").agg(F.sort_array(F.collect_list(F.struct("ate", "de", "por", "primeiro"))).alias("passos"))
-    placed = ranked(parts, key, "tamanho").join(F.broadcast(ordered), F.col("tamanho") == F.col("t"))
+    placed = ranked(parts, key, "tamanho", -(-max(counts.values(), default=1) // BLOCK_ITEMS)).join(F.broadcast(ordered), F.col("tamanho") == F.col("t"))
     step = placed.withColumn("p", F.try_element_at(F.filter("passos", lambda p: (p["ate"] > F.col("posto")) & (p["de"] <= F.col("posto"))), F.lit(1)))
     at = F.col("p.primeiro") + F.floor((F.col("posto") - F.col("p.de")) / F.col("p.por"))
     return step.select(key, "parte", "partes", ((F.col("parte") - 1) * capacity).cast("long").alias("inicio"), "tamanho", at.cast("long").alias("recipiente"))
+
+
+def over_several(placed: DataFrame, key: str) -> DataFrame:
+    """The items whose parts ``pack`` put into more than one container: ``key``."""
+    return placed.groupBy(key).agg(F.min("recipiente").alias("de"), F.max("recipiente").alias("ate")).where("de <> ate").select(key)
+
+
+def violations(sized: DataFrame, placed: DataFrame, key: str, capacity: int = CAPACITY) -> DataFrame:
+    """One row of counts that are 0 in a right packing: containers too full or left out, items split needlessly, tokens lost."""
+    loads = placed.groupBy("recipiente").agg(F.sum("tamanho").alias("carga"))
+    full = loads.agg(F.count_if(F.col("carga") > capacity).alias("acima"), (F.coalesce(F.max("recipiente") + 1, F.lit(0)) - F.count("*")).alias("vazios"))
+    items = placed.groupBy(key).agg(F.sum("tamanho").alias("postos"), F.max("partes").alias("partes"))
+    each = sized.select(key, "tokens").join(items, key, "left").agg(F.count_if((F.col("partes") > 1) & (F.col("tokens") <= capacity)).alias("cortados"), F.coalesce(F.sum(F.col("tokens") - F.coalesce("postos", F.lit(0))), F.lit(0)).alias("perdidos"))
+    return full.join(F.broadcast(each))

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from folhetim.llm import canonical, consensus, descan, encodings, mixing, nearcopies, overlap, packing, quotas
-from folhetim.llm.spread import spread, written
+from folhetim.llm.spread import Workspace, spread, written
 from folhetim.llm.tokens import with_tokens
 from folhetim.llm.wordsets import bags
 from folhetim.session import table
@@ -81,7 +81,23 @@ def p4_paragraphs(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
-    return quotas.short_strata(table(spark, d, "sireva_2014"), table(spark, d, "sampling_log"))
+    return quotas.short_strata(p5_quotas(spark, d))
+
+
+def p5_shortfalls(spark: SparkSession, d: str) -> DataFrame:
+    """Per draw and report what there is and what is lacking, by the flow."""
+    return p5_quotas(spark, d).groupBy("seed", "relatorio").agg(F.sum("disponivel").alias("disponivel"), F.max("carencia").alias("carencia"))
+
+
+def p5_violations(spark: SparkSession, d: str) -> DataFrame:
+    """Counts that are 0 in right quotas and samples: cells asked for more than they have, draws above their size, units drawn twice, cells drawn off their quota."""
+    q = written(p5_quotas(spark, d))
+    drawn = quotas.sample(table(spark, d, "sireva_2014"), table(spark, d, "sampling_log"), q)
+    cells = drawn.groupBy("seed", "relatorio", "classe").agg(F.count("*").alias("tirados"), F.count_distinct("sentenca_id").alias("unidades"))
+    both = q.join(cells, ["seed", "relatorio", "classe"], "left").fillna(0, ["tirados", "unidades"])
+    sizes = table(spark, d, "sampling_log").groupBy("seed").agg(F.max("n").alias("n"))
+    over = q.groupBy("seed").agg(F.sum("quota").alias("s"), F.sum("minimo").alias("m")).join(sizes, "seed").agg(F.count_if(F.expr("s > greatest(n, m)")).alias("acima"))
+    return both.agg(F.count_if(F.expr("quota > disponivel")).alias("demais"), F.count_if(F.expr("tirados <> quota")).alias("desvio"), F.count_if(F.expr("tirados <> unidades")).alias("repetidos")).join(F.broadcast(over))
 
 
 def p5_quotas(spark: SparkSession, d: str) -> DataFrame:
@@ -134,8 +150,12 @@ def sized_documents(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
-    parts = packing.pack(sized_documents(spark, d), "doc_id")
-    return parts.where("partes > 1").select("doc_id").distinct()
+    return packing.over_several(p8_containers(spark, d), "doc_id")
+
+
+def p8_violations(spark: SparkSession, d: str) -> DataFrame:
+    sized = written(sized_documents(spark, d))
+    return packing.violations(sized, packing.pack(sized, "doc_id"), "doc_id")
 
 
 def p8_containers(spark: SparkSession, d: str) -> DataFrame:
@@ -145,16 +165,29 @@ def p8_containers(spark: SparkSession, d: str) -> DataFrame:
 # ---- p9
 
 
+def sized_and_totals(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """The documents with their tokens, counted once, and the sums by source; written tables."""
+    space = Workspace(spark)
+    sized = space.write(sized_documents(spark, d))
+    return sized, space.write(mixing.source_totals(sized, table(spark, d, "mistura_alvo")))
+
+
 def p9_found(spark: SparkSession, d: str) -> DataFrame:
-    return mixing.unreachable(mixing.source_totals(sized_documents(spark, d), table(spark, d, "mistura_alvo")))
+    sized, totals = sized_and_totals(spark, d)
+    return mixing.left_short(written(mixing.mix(sized, totals, "doc_id")), totals)
 
 
 def p9_shares(spark: SparkSession, d: str) -> DataFrame:
-    return mixing.shares(mixing.source_totals(sized_documents(spark, d), table(spark, d, "mistura_alvo")))
+    return mixing.shares(sized_and_totals(spark, d)[1])
 
 
 def p9_mix(spark: SparkSession, d: str) -> DataFrame:
-    return mixing.mix(written(sized_documents(spark, d)), table(spark, d, "mistura_alvo"), "doc_id")
+    return mixing.mix(*sized_and_totals(spark, d), "doc_id")
+
+
+def p9_violations(spark: SparkSession, d: str) -> DataFrame:
+    sized, totals = sized_and_totals(spark, d)
+    return mixing.violations(written(mixing.mix(sized, totals, "doc_id")), totals, "doc_id")
 
 
 # ---- p10
@@ -180,9 +213,17 @@ def oracle_sql() -> dict[str, str]:
             SELECT DISTINCT s.seed, s.relatorio FROM sampling_log s LEFT JOIN a ON a.relatorio = s.relatorio
             WHERE coalesce(a.n, 0) < greatest(s.minimo, s.proporcao_alvo * s.n)
         """,
+        "p5_shortfalls": """
+            WITH a AS (SELECT relatorio, count(DISTINCT sentenca_id) AS n FROM sireva_2014 WHERE texto IS NOT NULL GROUP BY 1)
+            SELECT s.seed, s.relatorio, CAST(coalesce(max(a.n), 0) AS BIGINT) AS disponivel, CAST(greatest(0, ceil(greatest(max(s.minimo), max(s.proporcao_alvo) * max(s.n))) - coalesce(max(a.n), 0)) AS BIGINT) AS carencia
+            FROM sampling_log s LEFT JOIN a ON a.relatorio = s.relatorio GROUP BY 1, 2
+        """,
+        "p5_violations": "SELECT CAST(0 AS BIGINT) AS demais, CAST(0 AS BIGINT) AS desvio, CAST(0 AS BIGINT) AS repetidos, CAST(0 AS BIGINT) AS acima",
+        "p8_violations": "SELECT CAST(0 AS BIGINT) AS acima, CAST(0 AS BIGINT) AS vazios, CAST(0 AS BIGINT) AS cortados, CAST(0 AS BIGINT) AS perdidos",
+        "p9_violations": "SELECT CAST(0 AS BIGINT) AS demais, CAST(0 AS BIGINT) AS acima, CAST(0 AS BIGINT) AS abaixo, CAST(0 AS BIGINT) AS fora, CAST(0 AS BIGINT) AS repetidos",
         "p7_found": r"""
             SELECT DISTINCT sentenca_id FROM (SELECT sentenca_id, texto FROM sireva_2014 UNION ALL SELECT sentenca_id, texto FROM sireva_2020)
-            WHERE regexp_matches(texto, '[\x{ad}\x{a0}\x{300}-\x{36f}\x{1680}\x{2000}-\x{200f}\x{2028}-\x{202f}\x{205f}-\x{2064}\x{3000}\x{feff}\x{ff01}-\x{ff5e}ΑΒΕΖΗΙΚΜΝΟΡΤΥΧονικρυА-ЯЅІЈа-яѕіјԁһ]')
+            WHERE regexp_matches(texto, '[\x{ad}\x{a0}\x{300}-\x{36f}\x{1680}\x{2000}-\x{200f}\x{2028}-\x{202f}\x{205f}-\x{2064}\x{3000}\x{feff}\x{ff01}-\x{ffee}ΑΒΕΖΗΙΚΜΝΟΡΤΥΧονικρυА-ЯЅІЈа-яѕіјԁһ]')
         """.replace("\\\\", "\\"),
     }
 

@@ -3,7 +3,7 @@
 Method: min-cost flow over the counts of cells, report by length of text. Flow goes from the source over
 a report's arcs (its floor, its target, its surplus), the report's cells (what there is) and the length
 classes (their share of all units) to the sink; what no arc takes flows over a slack arc of the report
-and is its shortfall. Fractional targets are rounded at random, seeded, so that they add up to the
+and is its shortfall. A first flow, with the unrounded targets rounded up, tells which reports fall short. Fractional targets are rounded at random, seeded, so that they add up to the
 draw's size; the flow then gives whole cell quotas.
 
 Only counts are solved, a draw per task: as many rows as the plan has reports times classes. Units of a
@@ -38,17 +38,6 @@ def available(units: DataFrame) -> DataFrame:
     return units.where("texto is not null and sentenca_id is not null").groupBy("relatorio", "sentenca_id").agg(F.max(F.struct(F.length("texto").alias("l"), length_class(F.col("texto")).alias("c")))["c"].alias("classe"))
 
 
-def short_strata(units: DataFrame, plan: DataFrame) -> DataFrame:
-    """``seed, relatorio`` of the plan's rows that ask for more units than there are, ``minimo`` or ``proporcao_alvo * n``.
-
-    A count joined to the plan, without the flow and its rounded targets. A report without units has none; null targets ask for nothing.
-    """
-    per = available(units).groupBy(F.col("relatorio").alias("r")).agg(F.count("*").alias("ha"))
-    need = F.greatest(F.coalesce(F.col("minimo").cast("double"), F.lit(0.0)), F.coalesce(F.col("proporcao_alvo") * F.col("n"), F.lit(0.0)))
-    asked = plan.join(per, F.col("relatorio") == F.col("r"), "left")
-    return asked.where(F.coalesce("ha", F.lit(0)) < need).select("seed", "relatorio").distinct()
-
-
 class Flow:
     """Successive shortest paths on a small network with whole capacities."""
 
@@ -115,8 +104,21 @@ def rounded_at_random(parts: list[float], total: int, rng: random.Random) -> lis
     return out
 
 
+def shortfalls(need: dict[str, float], cells: dict[tuple[str, str], int]) -> dict[str, int]:
+    """What flows over each report's slack arc if every report is to send its need, rounded up, through its cells."""
+    flow, slack, demand = Flow(), {}, {r: math.ceil(x) for r, x in need.items()}
+    for r, k in demand.items():
+        flow.arc("fonte", f"r{r}", k, TARGET)
+        slack[r] = flow.arc(f"r{r}", "fim", k, SLACK)
+    for (r, c), k in sorted(cells.items()):
+        flow.arc(f"r{r}", f"x{r} {c}", k, 0)
+        flow.arc(f"x{r} {c}", "fim", k, 0)
+    flow.send("fonte", "fim", sum(demand.values()))
+    return {r: flow.used(a) for r, a in slack.items()}
+
+
 def solve(g: pd.DataFrame) -> pd.DataFrame:
-    """Quotas of one draw: ``seed, relatorio, classe, disponivel, quota, alvo, minimo, falta``."""
+    """Quotas of one draw: ``seed, relatorio, classe, disponivel, quota, alvo, minimo, falta, carencia``."""
     seed, n = int(g["seed"].iloc[0]), int(g["n"].max())
     rng = random.Random(seed)
     strata = g.drop_duplicates("relatorio").sort_values("relatorio")
@@ -124,6 +126,8 @@ def solve(g: pd.DataFrame) -> pd.DataFrame:
     target = dict(zip(names, rounded_at_random([p if p == p else 0.0 for p in strata["proporcao_alvo"]], n, rng)))
     floor = {r: 0 if m != m else int(m) for r, m in zip(names, strata["minimo"])}
     cells = {(r, c): int(k) for r, c, k in zip(g["relatorio"], g["classe"], g["disponivel"]) if isinstance(c, str)}
+    need = {r: max(float(floor[r]), p * n if p == p else 0.0) for r, p in zip(names, strata["proporcao_alvo"])}
+    lacking = shortfalls(need, cells)
     classes = sorted({c for _, c in cells})
     stock = {c: g["total_classe"][g["classe"] == c].iloc[0] for c in classes}
     margin = dict(zip(classes, rounded_at_random([float(stock[c]) for c in classes], n, rng))) if classes else {}
@@ -146,25 +150,33 @@ def solve(g: pd.DataFrame) -> pd.DataFrame:
     for r in names:
         own = [c for c in classes if (r, c) in cells] or [None]
         for c in own:
-            rows.append((seed, r, c, cells.get((r, c), 0), flow.used(arcs[r, c]) if c else 0, target[r], floor[r], flow.used(slack[r])))
-    return pd.DataFrame(rows, columns=["seed", "relatorio", "classe", "disponivel", "quota", "alvo", "minimo", "falta"])
+            rows.append((seed, r, c, cells.get((r, c), 0), flow.used(arcs[r, c]) if c else 0, target[r], floor[r], flow.used(slack[r]), lacking[r]))
+    return pd.DataFrame(rows, columns=["seed", "relatorio", "classe", "disponivel", "quota", "alvo", "minimo", "falta", "carencia"])
 
 
 def cell_quotas(units: DataFrame, plan: DataFrame) -> DataFrame:
-    """``seed, relatorio, classe, disponivel, quota, alvo, minimo, falta``: each draw's quotas, and the shortfall per report.
+    """``seed, relatorio, classe, disponivel, quota, alvo, minimo, falta, carencia``: each draw's quotas, and the shortfall per report.
 
+    ``falta`` is what the draw lacks of the report's rounded target or minimum, ``carencia`` what the
+    report lacks of the greater of its minimum and its unrounded target: the flow over its slack arc.
     Repeated plan rows of a draw and report count once; a report without units has one row of no class.
+    A draw without a size asks for minimums alone; rows without seed or report are left out.
     """
     cells = available(units).groupBy("relatorio", "classe").agg(F.count("*").alias("disponivel"))
     cells = cells.withColumn("total_classe", F.sum("disponivel").over(Window.partitionBy("classe")))
-    asked = plan.where("seed is not null and relatorio is not null").groupBy("seed", "relatorio").agg(F.max("n").alias("n"), F.max("proporcao_alvo").alias("proporcao_alvo"), F.max("minimo").alias("minimo"))
-    joined = asked.join(cells, "relatorio", "left").where("n is not null")
-    return joined.groupBy("seed").applyInPandas(solve, "seed int, relatorio string, classe string, disponivel long, quota long, alvo long, minimo long, falta long")
+    asked = plan.where("seed is not null and relatorio is not null").groupBy("seed", "relatorio").agg(F.coalesce(F.max("n"), F.lit(0)).alias("n"), F.max("proporcao_alvo").alias("proporcao_alvo"), F.max("minimo").alias("minimo"))
+    joined = asked.join(cells, "relatorio", "left")
+    return joined.groupBy("seed").applyInPandas(solve, "seed int, relatorio string, classe string, disponivel long, quota long, alvo long, minimo long, falta long, carencia long")
+
+
+def short_strata(quotas: DataFrame) -> DataFrame:
+    """``seed, relatorio`` of ``cell_quotas`` whose slack arc is used: reports that can't give what the plan asks for."""
+    return quotas.where("carencia > 0").select("seed", "relatorio").distinct()
 
 
-def sample(units: DataFrame, plan: DataFrame) -> DataFrame:
+def sample(units: DataFrame, plan: DataFrame, quotas: DataFrame | None = None) -> DataFrame:
     """``seed, relatorio, classe, sentenca_id``: the units drawn, by quota, seeded and without replacement."""
-    quotas = cell_quotas(units, plan).where("quota > 0").select("seed", "relatorio", "classe", "quota")
+    quotas = (cell_quotas(units, plan) if quotas is None else quotas).where("quota > 0").select("seed", "relatorio", "classe", "quota")
     most = plan.agg(F.max("n")).first()[0] or 0
     pool = available(units).join(quotas, ["relatorio", "classe"])
     by = Window.partitionBy("seed", "relatorio", "classe").orderBy(F.xxhash64("seed", "sentenca_id"), "sentenca_id")

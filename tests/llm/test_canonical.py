@@ -47,3 +47,7 @@ def test_table(spark):
     got = C.canonical(df.drop("forma"), "texto", "forma").collect()
     assert [r["forma"] for r in got][:5] == ["vacina", "vacina", None, "", "β"]
     assert C.variants(df.limit(0), "sentenca_id", "texto").count() == 0
+
+
+def test_widths():
+    assert C.canonical_text("￥５０ ｶﾀ ￣") == "¥50 カタ ¯"

@@ -55,6 +55,9 @@ def test_packing(spark):
     assert sorted(load) == list(range(len(load)))
     assert len(load) <= 1.05 * best_possible(sizes, 100)
     assert packing.pack(df.limit(0), "doc_id", 100).count() == 0
+    placed = packing.pack(df, "doc_id", 100)
+    assert {r[0] for r in packing.over_several(placed, "doc_id").collect()} == {k for k, s in enumerate(sizes) if s > 100}
+    assert tuple(packing.violations(df, placed, "doc_id", 100).first()) == (0, 0, 0, 0)
 
 
 def test_plan_of_large_items():
@@ -86,8 +89,10 @@ def test_mix(spark):
     for _, s, t in docs:
         own[s] += t
     total = sum(own.values())
-    assert {r[0] for r in mixing.unreachable(totals).collect()} == {s for s, w, m in [("a", 0.3, 1), ("b", 0.4, 3), ("c", 0.29, 2), ("vazio", 0.01, 4)] if m * own[s] < w * total}
-    rows = mixing.mix(sized, goals, "doc_id").collect()
+    mixed = mixing.mix(sized, totals, "doc_id")
+    assert {r[0] for r in mixing.left_short(mixed, totals).collect()} == {s for s, w, m in [("a", 0.3, 1), ("b", 0.4, 3), ("c", 0.29, 2), ("vazio", 0.01, 4)] if m * own[s] < w * total}
+    assert set(mixing.violations(mixed, totals, "doc_id").first()) == {0}
+    rows = mixed.collect()
     used, times = Counter(), Counter()
     for r in rows:
         used[r["source"]] += r["tokens"]
@@ -101,7 +106,7 @@ def test_mix(spark):
     assert all(n <= cap[source[i]] for i, n in times.items())
     places = [r["posicao"] for r in rows]
     assert places == sorted(places) and 0 <= places[0] and places[-1] <= 1
-    assert mixing.mix(sized.limit(0), goals, "doc_id").count() == 0
+    assert mixing.mix(sized.limit(0), mixing.source_totals(sized.limit(0), goals), "doc_id").count() == 0
 
 
 def test_rounding():
@@ -117,7 +122,7 @@ def test_quotas(spark):
     units = [(f"r{k % 3}", f"r{k % 3}_s{k:04d}", "x" * (10 + 7 * (k % 50))) for k in range(300)] + [("r0", "r0_s0000", "x" * 10), ("r1", "nulo", None), ("pouco", "p1", "texto"), ("pouco", "p1", "texto maior")]
     u = spark.createDataFrame(units, "relatorio string, sentenca_id string, texto string")
     plan = spark.createDataFrame([(1, 60, "r0", 0.5, 5), (1, 60, "r1", 0.4, 5), (1, 60, "pouco", 0.1, 2), (1, 60, "nada", 0.0, 1), (2, 40, "r2", 1.0, None), (3, None, "r1", None, None)], "seed int, n int, relatorio string, proporcao_alvo double, minimo int")
-    assert {tuple(r) for r in quotas.short_strata(u, plan).collect()} == {(1, "pouco"), (1, "nada")}
+    assert {tuple(r) for r in quotas.short_strata(quotas.cell_quotas(u, plan)).collect()} == {(1, "pouco"), (1, "nada")}
     rows = quotas.cell_quotas(u, plan).collect()
     per, short = Counter(), {}
     for r in rows:
@@ -145,6 +150,7 @@ def test_encodings(spark):
         104: TEXT.replace("≥ ", "").encode("cp1252").decode("cp850"),
     }
     rows = clean + [(k, f"{TEXT}\n{t}", None if k == 101 else "pt") for k, t in wrong.items()]
+    rows += [(210, "ver https://x.org/a?b=c e www.y.org/p?q", "pt")]
     rows += [(200, "situa��o", "pt"), (201, "l??quido e situa??o", "pt"), (202, None, "pt"), (203, "", None), (204, "RELAÇÃO À PENICILINA: CRIANÇAS – 2º", "pt")]
     df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
     got = {r["doc_id"]: r for r in encodings.restored(df).collect()}
