@@ -63,6 +63,7 @@ AFFECTED_RE = re.compile(AFFECTED)
 LETTERS_RE = re.compile(r"[^\W\d_]")
 PAGE_RE = re.compile(r"[\[(•·*—–\-|\s]*(?:p[aáàâ]g(?:ina)?\s*\.?|p\s*\.|fls?\s*\.?|folha)?\s*(\d{1,4})(?:\s*(?:de|/)\s*\d{1,4})?[\])•·*—–\-|.\s]*", re.I)
 #: No line of a page number has a word longer than those of PAGE_RE; others needn't be tried.
+NUMBERS_RE = re.compile(r"\d+")
 DIGIT_RE, LONG_WORD_RE = re.compile(r"\d"), re.compile(r"[^\W\d_]{7}")
 FIGURES_RE = re.compile(r"\d(?:[\d.,/:]*\d)?")
 BROKEN_RE = re.compile(rf"[^\W\d_][{HYPHENS}]$")
@@ -82,10 +83,10 @@ def core(token: str) -> str:
 
 
 class Letters(dict):
-    """Characters by number to their letters in lower case without accents; '' for what is no letter."""
+    """Characters by number to their letters in lower case without accents and single confusions; '' for what is no letter."""
 
     def __missing__(self, code: int) -> str:
-        out = self[code] = "".join(c for c in unicodedata.normalize("NFD", chr(code).lower()) if c.isalpha())
+        out = self[code] = "".join(c for c in unicodedata.normalize("NFD", chr(code).lower()) if c.isalpha()).translate(SINGLE)
         return out
 
 
@@ -94,7 +95,7 @@ LETTERS = Letters()
 
 def fold(line: str) -> str:
     """The letters of a line without accents and confusions: spellings of one header fold alike."""
-    return skeleton(line.translate(LETTERS))
+    return widened(line.translate(LETTERS))
 
 
 def same_header(f: str, header: dict[str, str]) -> str | None:
@@ -117,7 +118,10 @@ WIDE = (("u", "ll"), ("h", "ll"), ("d", "cl"), ("m", "ln"), ("w", "vv"), ("nl",
 
 def skeleton(word: str) -> str:
     """A key that is equal for all spellings that CONFUSIONS turn into each other."""
-    out = word.translate(SINGLE)
+    return widened(word.translate(SINGLE))
+
+
+def widened(out: str) -> str:
     for a, b in WIDE:
         out = out.replace(a, b)
     return out
@@ -230,7 +234,7 @@ def breaks_of(lines: list[str]) -> set[str]:
     """The words that may be broken over the line ends, as ``a\\nb``: what follows may stand after a header and a page number."""
     out = set()
     for i, line in enumerate(lines):
-        if BROKEN_RE.search(line):
+        if BROKEN_RE.search(line[-2:]):
             out |= {break_key(line[:-1], after) for after in lines[i + 1 : i + 4] if LETTERS_RE.match(after)}
     return out
 
@@ -239,11 +243,12 @@ def break_key(left: str, right: str) -> str:
     return f"{core(left.rpartition(' ')[2])}\n{core(right.partition(' ')[0])}"
 
 
-def _lines_of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _lines_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Of each text a hash; of its different folded lines the hashes; the lines long enough for a header, with hash and numbers; and its breaks."""
+    kinds = [pa.string(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.string()), pa.list_(pa.string()), pa.list_(pa.string())]
     for b in batches:
-        rows = []
-        for report, text in zip(b["r"], b["texto"]):
+        columns: list[list] = [[] for _ in kinds]
+        for report, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
             lines = [s for line in plain(text).split("\n") if (s := line.strip())]
             own: dict[str, str] = {}
             for line in lines:
@@ -251,8 +256,10 @@ def _lines_of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                     own.setdefault(f, line)
             marks = {f: xxhash.xxh64_intdigest(f) - (1 << 63) for f in own}
             long = [f for f in own if len(f) >= HEADER_LETTERS]
-            rows.append((report, xxhash.xxh64_intdigest(text) - (1 << 63), list(marks.values()), [marks[f] for f in long], long, [" ".join(re.findall(r"\d+", own[f])) for f in long], list(breaks_of(lines))))
-        yield from some(pd.DataFrame(rows, columns=["r", "t", "todas", "marca", "linha", "numeros", "quebras"]))
+            row = (report, xxhash.xxh64_intdigest(text) - (1 << 63), list(marks.values()), [marks[f] for f in long], long, [" ".join(NUMBERS_RE.findall(own[f])) for f in long], list(breaks_of(lines)))
+            for column, value in zip(columns, row):
+                column.append(value)
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], ["r", "t", "todas", "marca", "linha", "numeros", "quebras"])
 
 
 LINES = "r string, t long, todas array<long>, marca array<long>, linha array<string>, numeros array<string>, quebras array<string>"
@@ -272,7 +279,7 @@ def different(texts: DataFrame) -> DataFrame:
 
 def lines_of_units(units: DataFrame) -> DataFrame:
     """The lines of the different texts of several lines of each report: a row of ``LINES`` per text."""
-    return units.where(F.col("texto").contains("\n")).select(report_key(), "texto").distinct().mapInPandas(_lines_of, LINES)
+    return units.where(F.col("texto").contains("\n")).select(report_key(), "texto").distinct().mapInArrow(_lines_of, LINES)
 
 
 def report_key() -> Column:

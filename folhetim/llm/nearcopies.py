@@ -132,9 +132,8 @@ def verified(pairs: DataFrame, nodes: DataFrame, space: Workspace, share: float)
 #: What a pair must meet: lengths that allow the share, and word maps that differ in no more bits than
 #: linked bags have words apart. Both follow from the definition of a link, so no link is lost.
 MAP = ("n", "m0", "m1", "m2", "m3")
-APART = "x.n + y.n - 2 * ceil(greatest(x.n, y.n) * {t} / 1000)"
 BITS = [f"bit_count(x.m{k} ^ y.m{k})" for k in range(4)]
-POSSIBLE = f"least(x.n, y.n) * 1000 >= greatest(x.n, y.n) * {{t}} and {' + '.join(BITS[:2])} <= {APART} and {' + '.join(BITS)} <= {APART}"
+POSSIBLE = "least(x.n, y.n) * 1000 >= greatest(x.n, y.n) * {t}" + "".join(f" and (x.n + y.n - ({' + '.join(b)})) * 500 >= greatest(x.n, y.n) * {{t}}" for b in (BITS[:2], BITS))
 #: One of a pair's members is of the index; of two such members the pair counts once.
 INDEXED = "x.indice and (not y.indice or x.no < y.no)"
 
