@@ -68,16 +68,29 @@ def silver_tags(toks: Column, places: Column) -> Column:
     return F.transform(toks, tag)
 
 
-def chosen_places(spans: Column, text: Column) -> Column:
-    """Spans at their first occurrence in any case, longest first, none overlapping one taken before."""
+def valid_spans(spans: Column) -> Column:
+    """Spans with a mention and a known type, the mention stripped, the type in upper case."""
+    clean = F.transform(spans, lambda x: F.struct(strip(x["texto"]).alias("texto"), F.upper(x["tipo"]).alias("tipo")))
+    return F.filter(clean, lambda x: (x["texto"] != "") & x["tipo"].isin(*ENTITY_TYPES))
+
+
+def chosen_places(spans: Column, text: Column, loose: Column | None = None) -> Column:
+    """Spans at their first occurrence in any case, longest first, none overlapping one taken before.
+
+    ``loose``: ``array<struct<s,e>>``, a place for each of the ``valid_spans`` that the plain search misses.
+    """
     lower = F.lower(text)
 
     def place(x: Column, i: Column) -> Column:
-        s = F.call_function("locate", F.lower(x["texto"]), lower) - 1
-        return F.struct((-F.length(x["texto"])).alias("nl"), i.alias("ord"), s.alias("s"), (s + F.length(x["texto"])).alias("e"), F.upper(x["tipo"]).alias("tipo"))
-
-    valid = F.filter(spans, lambda x: (x["texto"] != "") & F.upper(x["tipo"]).isin(*ENTITY_TYPES))
-    ordered = F.array_sort(F.filter(F.transform(valid, place), lambda p: p["s"] >= 0))
+        at = F.call_function("locate", F.lower(x["texto"]), lower)
+        s = F.when(at > 0, at - 1)
+        e = s + F.length(x["texto"])
+        if loose is not None:
+            other = F.try_element_at(loose, i + 1)
+            s, e = F.coalesce(s, other["s"]), F.coalesce(e, other["e"])
+        return F.struct((-F.length(x["texto"])).alias("nl"), i.alias("ord"), s.alias("s"), e.alias("e"), x["tipo"].alias("tipo"))
+
+    ordered = F.array_sort(F.filter(F.transform(valid_spans(spans), place), lambda p: p["s"].isNotNull()))
     empty = F.array().cast("array<struct<nl:int,ord:int,s:int,e:int,tipo:string>>")
     return F.aggregate(ordered, empty, lambda acc, x: F.when(F.exists(acc, lambda a: (a["s"] < x["e"]) & (x["s"] < a["e"])), acc).otherwise(F.concat(acc, F.array(x))))
 
@@ -143,6 +156,11 @@ def char_spans(tags: Column, offsets: Column, text: Column, lenient: bool = Fals
     return F.transform(entity_spans(tags, lenient), span)
 
 
+def consistent(toks: Column, tags: Column) -> Column:
+    """Whether there are tokens, and a tag for each."""
+    return F.coalesce((F.size(toks) > 0) & (F.size(toks) == F.size(tags)), F.lit(False))
+
+
 def has_entity(tags: Column) -> Column:
     return F.coalesce(F.exists(tags, lambda t: t != "O"), F.lit(False))
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from folhetim.functions import tags as G
+from folhetim.operators.locate import loose_places
 
 
 def route(status: Column) -> Column:
@@ -32,9 +33,10 @@ def build_gold(rows: DataFrame, text: str = "texto", status: str = "status", sil
     """
     kept = rows.where(~route(F.col(status)).isin("erro", "pulado") & (F.trim(F.coalesce(F.col(text), F.lit(""))) != ""))
     chosen = kept.withColumn("__s", routed_spans(F.col(status), F.col(silver), F.col(fixed)))
-    off = chosen.withColumn("__o", G.token_offsets(F.col(text))).withColumn("__p", G.chosen_places(F.col("__s"), F.col(text)))
+    loose = chosen.withColumn("__l", loose_places(F.col("__s"), F.col(text)))
+    off = loose.withColumn("__o", G.token_offsets(F.col(text))).withColumn("__p", G.chosen_places(F.col("__s"), F.col(text), F.col("__l")))
     tagged = off.withColumn("tokens", F.transform("__o", lambda o: o["token"])).withColumn("bio_tags", G.gold_tags(F.col("__o"), F.col("__p")))
-    return tagged.withColumn("spans", G.span_texts(F.col("bio_tags"), F.col("tokens"))).drop("__s", "__o", "__p")
+    return tagged.withColumn("spans", G.span_texts(F.col("bio_tags"), F.col("tokens"))).drop("__s", "__l", "__o", "__p")
 
 
 def from_export(tasks: DataFrame, annotator: int = 1) -> DataFrame:

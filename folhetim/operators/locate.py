@@ -7,7 +7,9 @@ import re
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, IntegerType
+from pyspark.sql.types import ArrayType, IntegerType, StructField, StructType
+
+from folhetim.functions import tags as G
 
 
 def find_loosely(text: str, mention: str) -> list[int] | None:
@@ -36,3 +38,27 @@ def place_of(text: Column, mention: Column) -> Column:
     missed = (at == 0) | (mention == "")
     found = F.when(~missed, F.array(at - 1, at - 1 + F.length(mention)))
     return F.coalesce(found, _loose(F.when(missed, text), F.when(missed, mention)))
+
+
+PLACES = ArrayType(StructType([StructField("s", IntegerType()), StructField("e", IntegerType())]))
+
+
+@F.pandas_udf(PLACES)
+def _all_loose(texts: pd.Series, mentions: pd.Series) -> pd.Series:
+    def places(text, names):
+        if text is None or names is None:
+            return None
+        found = [find_loosely(text, m) for m in names]
+        return [None if f is None else {"s": f[0], "e": f[1]} for f in found]
+
+    return pd.Series([places(t, m) for t, m in zip(texts, mentions)])
+
+
+def loose_places(spans: Column, text: Column) -> Column:
+    """``array<struct<s,e>>``: for each of the ``valid_spans`` where a loose search finds it.
+
+    Null where the plain search finds all of them: only other rows go to Python.
+    """
+    mentions = F.transform(G.valid_spans(spans), lambda x: x["texto"])
+    missed = F.exists(mentions, lambda m: F.call_function("locate", F.lower(m), F.lower(text)) == 0)
+    return _all_loose(F.when(missed, text), F.when(missed, mentions))

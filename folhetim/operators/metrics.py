@@ -29,6 +29,21 @@ def aligned(gold: DataFrame, other: DataFrame, key: str = "sentenca_id", keep: t
     return a.join(b, key).select(key, *keep, "tokens", F.slice("a", F.lit(1), n).alias("ga"), F.slice("b", F.lit(1), n).alias("gb"), (F.size("a") != F.size("b")).alias("descasada"))
 
 
+def pairing_problems(gold: DataFrame, other: DataFrame, key: str = "sentenca_id") -> DataFrame:
+    """``key, problema`` of gold units that can't be paired strictly: ``ausente`` from the other side, or with other ``tokens``."""
+    b = other.select(key, F.col("tokens").alias("__b"))
+    both = gold.select(key, "tokens").join(b, key, "left")
+    kind = F.when(F.col("__b").isNull(), "ausente").when(~F.col("tokens").eqNullSafe(F.col("__b")), "tokens")
+    return both.select(key, kind.alias("problema")).where("problema is not null")
+
+
+def strictly_paired(gold: DataFrame, other: DataFrame, key: str = "sentenca_id") -> DataFrame:
+    """``aligned`` of sides that have the same units of the same tokens; ValueError, with one of the problems, where they don't."""
+    if bad := pairing_problems(gold, other, key).first():
+        raise ValueError(f"{bad[key]!r}: {bad['problema']}")
+    return aligned(gold, other, key)
+
+
 def entity_rows(pairs: DataFrame, tags: str, *keep: str, lenient: bool = False) -> DataFrame:
     """``keep..., tipo, i, j`` for every entity of the tag sequences."""
     return pairs.select(*keep, F.explode(G.entity_spans(F.col(tags), lenient)).alias("x")).select(*keep, "x.tipo", "x.i", "x.j")
@@ -133,12 +148,27 @@ def kappa_by_type(pairs: DataFrame) -> DataFrame:
     return kappa_of(cells, "tipo")
 
 
-def span_f1_units(pairs: DataFrame, key: str = "sentenca_id") -> DataFrame:
-    """``key, f1`` of both sides' mentions: common ones (as sets) over all listed; 1 where both list none."""
+def _span_f1(pairs: DataFrame, key: str) -> DataFrame:
     mentions = lambda tags: F.transform(G.span_texts(F.col(tags), F.col("tokens")), lambda x: F.struct(F.lower(x["texto"]).alias("texto"), x["tipo"].alias("tipo")))
     m = pairs.select(key, mentions("ga").alias("a"), mentions("gb").alias("b"))
     total = F.size("a") + F.size("b")
-    return m.select(key, rounded(F.when(total == 0, 1.0).otherwise(2 * F.size(F.array_intersect("a", "b")) / total)).alias("f1"))
+    return m.select(key, F.when(total == 0, 1.0).otherwise(2 * F.size(F.array_intersect("a", "b")) / total).alias("f1"))
+
+
+def span_f1_units(pairs: DataFrame, key: str = "sentenca_id") -> DataFrame:
+    """``key, f1`` of both sides' mentions: common ones (as sets) over all listed; 1 where both list none."""
+    return _span_f1(pairs, key).withColumn("f1", rounded(F.col("f1")))
+
+
+def span_f1_mean(pairs: DataFrame, key: str = "sentenca_id") -> DataFrame:
+    """``unidades, f1``: the mean of the units' scores."""
+    return _span_f1(pairs, key).agg(F.count("*").alias("unidades"), rounded(F.avg("f1")).alias("f1"))
+
+
+def token_agreement(pairs: DataFrame, key: str = "sentenca_id") -> DataFrame:
+    """``key, concordancia``: the per cent of equal tags of each unit with tokens."""
+    same = F.size(F.filter(F.arrays_zip("ga", "gb"), lambda x: x["ga"] == x["gb"]))
+    return pairs.where(F.size("ga") > 0).select(key, F.bround(100 * same / F.size("ga"), 2).alias("concordancia"))
 
 
 def span_counts(pairs: DataFrame) -> DataFrame:

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from folhetim.functions import tags as G
 from folhetim.functions import text as T
-from folhetim.operators import annotate, gold, metrics, sampling, stats, units
+from folhetim.operators import annotate, gold, locate, metrics, sampling, stats, units
 from folhetim.schema import ENTITY_TYPES, tagset
 from folhetim.session import table
 
@@ -176,6 +176,20 @@ def token_offsets(spark, d):
     return u.select("sentenca_id", "pos", "o.token", F.col("o.s").alias("inicio"), F.col("o.e").alias("fim"))
 
 
+@query(SQL["token_offsets"])
+def recovered_offsets(spark, d):
+    """The offsets again, found from the tokens alone."""
+    u = text_units(spark, d).select("sentenca_id", F.posexplode(G.recovered_offsets(G.tokens(F.col("texto")), F.col("texto"))).alias("pos", "o"))
+    return u.select("sentenca_id", "pos", "o.token", F.col("o.s").alias("inicio"), F.col("o.e").alias("fim"))
+
+
+@query(f"WITH {TOK}, x AS (SELECT relatorio, len(ts) AS a, len(string_split(texto, ' ')) AS b FROM tl) SELECT relatorio, count(*) AS unidades, count(*) FILTER (a > 0 AND a = b) AS coerentes FROM x GROUP BY 1")
+def consistent_lengths(spark, d):
+    """Units by white space against tags by single spaces."""
+    u = text_units(spark, d).withColumn("ok", G.consistent(G.tokens(F.col("texto")), annotate.rule_tags(F.split("texto", " "))))
+    return u.groupBy("relatorio").agg(F.count("*").alias("unidades"), F.count_if("ok").alias("coerentes"))
+
+
 def _cells(spark, d):
     """Table rows with the suggestions written in the reference's own notation."""
     r = review(spark, d).where("texto is not null and entidades_sugeridas is not null").groupBy("id", "texto").agg(F.min("entidades_sugeridas").alias("c"))
@@ -206,7 +220,7 @@ def silver_bio(spark, d):
 
 @query()
 def gold_bio(spark, d):
-    c = _cells(spark, d).withColumn("o", G.token_offsets(F.col("texto"))).withColumn("p", G.chosen_places(F.col("spans"), F.col("texto")))
+    c = _cells(spark, d).withColumn("l", locate.loose_places(F.col("spans"), F.col("texto"))).withColumn("o", G.token_offsets(F.col("texto"))).withColumn("p", G.chosen_places(F.col("spans"), F.col("texto"), F.col("l")))
     return c.select("id", "texto", F.posexplode(G.gold_tags(F.col("o"), F.col("p"))).alias("pos", "tag"))
 
 
@@ -297,6 +311,15 @@ def train_anti(spark, d):
     return text_units(spark, d).join(_gold_ids(spark, d), "sentenca_id", "left_anti").select("sentenca_id", "relatorio")
 
 
+@query(f"""WITH {TOK}, x AS (SELECT sentenca_id, ts, string_split(texto, ' ') AS b FROM tl), g AS (SELECT DISTINCT sentenca_id FROM particoes WHERE particao = 'teste' AND sentenca_id IS NOT NULL)
+SELECT x.sentenca_id, CASE WHEN NOT x.sentenca_id IN (SELECT sentenca_id FROM g) THEN 'ausente' ELSE 'tokens' END AS problema FROM x WHERE NOT x.sentenca_id IN (SELECT sentenca_id FROM g) OR ts <> b""")
+def pairing_problems(spark, d):
+    """Units by white space against the test split's units by single spaces."""
+    u = text_units(spark, d)
+    other = u.join(_gold_ids(spark, d), "sentenca_id", "left_semi").select("sentenca_id", F.split("texto", " ").alias("tokens"))
+    return metrics.pairing_problems(u.select("sentenca_id", G.tokens(F.col("texto")).alias("tokens")), other)
+
+
 @query("SELECT id FROM (SELECT DISTINCT id FROM annotation_tabelas WHERE anotador = 'anot_10' INTERSECT SELECT DISTINCT id FROM annotation_tabelas WHERE anotador = 'anot_04')")
 def common_ids(spark, d):
     r = review(spark, d)
@@ -444,9 +467,7 @@ def kappa_by_type(spark, d):
 
 @query(f"WITH {TAGS} SELECT sentenca_id, {r4('100.0 * avg(CASE WHEN ta = tb THEN 1 ELSE 0 END)', 2)} AS concordancia FROM g GROUP BY 1")
 def token_agreement(spark, d):
-    p = pairs(spark, d).where(F.size("ga") > 0)
-    same = F.size(F.filter(F.arrays_zip("ga", "gb"), lambda x: x["ga"] == x["gb"]))
-    return p.select("sentenca_id", F.bround(100 * same / F.size("ga"), 2).alias("concordancia"))
+    return metrics.token_agreement(pairs(spark, d))
 
 
 MENTIONS = f"{SPANS}, ma AS (SELECT sentenca_id, lower(texto) AS m, tipo, count(*) AS n FROM sa GROUP BY 1, 2, 3), mb AS (SELECT sentenca_id, lower(texto) AS m, tipo, count(*) AS n FROM sb GROUP BY 1, 2, 3)"
@@ -459,6 +480,13 @@ def span_f1_units(spark, d):
     return metrics.span_f1_units(pairs(spark, d))
 
 
+@query(f"""WITH {MENTIONS}, ca AS (SELECT sentenca_id, sum(n) AS n FROM ma GROUP BY 1), cb AS (SELECT sentenca_id, sum(n) AS n FROM mb GROUP BY 1), ci AS (SELECT sentenca_id, count(*) AS n FROM ma JOIN mb USING (sentenca_id, m, tipo) GROUP BY 1)
+SELECT count(*) AS unidades, {r4('avg(CASE WHEN coalesce(ca.n, 0) + coalesce(cb.n, 0) = 0 THEN 1.0 ELSE CAST(2 * coalesce(ci.n, 0) AS DOUBLE) / (coalesce(ca.n, 0) + coalesce(cb.n, 0)) END)')} AS f1
+FROM u LEFT JOIN ca ON ca.sentenca_id = u.sentenca_id LEFT JOIN cb ON cb.sentenca_id = u.sentenca_id LEFT JOIN ci ON ci.sentenca_id = u.sentenca_id""")
+def span_f1_mean(spark, d):
+    return metrics.span_f1_mean(pairs(spark, d))
+
+
 @query(f"""WITH {MENTIONS}, x AS (SELECT coalesce(ma.tipo, mb.tipo) AS tipo, count(*) FILTER (ma.m IS NOT NULL AND mb.m IS NOT NULL) AS i, count(ma.m) AS a, count(mb.m) AS b FROM ma FULL JOIN mb ON ma.sentenca_id = mb.sentenca_id AND ma.m = mb.m AND ma.tipo = mb.tipo GROUP BY 1)
 SELECT tipo, i AS intersect, a AS total_a, b AS total_b, {r4('CASE WHEN a + b = 0 THEN 0 ELSE CAST(2 * i AS DOUBLE) / (a + b) END')} AS f1 FROM x""".replace("AS intersect", 'AS "intersect"'))
 def span_counts(spark, d):

@@ -2,6 +2,7 @@
 
 import json
 
+import pytest
 from pyspark.sql import functions as F
 
 from folhetim.operators import gold, metrics, packed, sampling, tables, units
@@ -161,3 +162,26 @@ def test_entry():
     import __spark_entry__ as e
 
     assert set(e.oracle_sql()) <= set(e.queries())
+
+
+def test_source_decides_the_cut(spark):
+    cell = "a → LOCAL, b → LOCAL; c → LOCAL"
+    df = spark.createDataFrame([(cell,)], "c string")
+    cut = lambda *order: df.select(packed.cut_at(F.array("c"), F.lit(order[0])).alias("p")).first()["p"]
+    assert cut(",") == ["a → LOCAL", "b → LOCAL; c → LOCAL"] and cut(";") == ["a → LOCAL, b → LOCAL", "c → LOCAL"]
+    whole = lambda *names: df.select(packed.split_cell(F.col("c"), packed.endings(F.col("c")), F.array(*map(F.lit, names))).alias("p")).first()["p"]
+    # a source whose delimiters are told to be others keeps what they don't cut
+    assert whole("virgula", "ponto_e_virgula") == whole("ponto_e_virgula", "virgula") == ["a → LOCAL", "b → LOCAL", "c → LOCAL"]
+    assert whole("virgula", "barra") == ["a → LOCAL", "b → LOCAL; c → LOCAL"]
+
+
+def test_strict_pairing(spark):
+    from folhetim.operators import metrics
+
+    kinds = "sentenca_id string, tokens array<string>, bio_tags array<string>"
+    a = spark.createDataFrame([("1", ["x"], ["O"]), ("2", ["x", "y"], ["O", "O"]), ("3", ["z"], ["O"])], kinds)
+    b = spark.createDataFrame([("1", ["x"], ["O"]), ("2", ["x"], ["O"])], kinds)
+    assert {tuple(r) for r in metrics.pairing_problems(a, b).collect()} == {("2", "tokens"), ("3", "ausente")}
+    with pytest.raises(ValueError):
+        metrics.strictly_paired(a, b)
+    assert metrics.strictly_paired(a.limit(0), b).count() == 0

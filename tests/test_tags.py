@@ -117,3 +117,13 @@ def test_annotators(spark):
     replies = lambda texts: ['{"entidades":[{"texto":"a","tipo":"LOCAL"}]}' if t else None for t in texts]
     got = {x["sentenca_id"]: x["spans"] for x in annotate.by_model(df, "sentenca_id", "texto", replies).collect()}
     assert [tuple(x) for x in got["u1"]] == [("a", "LOCAL")] and got["u2"] == []
+
+
+def test_gold_finds_loosely(spark):
+    from folhetim.operators import gold
+
+    rows = [(1, "Em São  Paulo houve S . pneumoniae", "ok", [("São Paulo ", "local"), ("S. pneumoniae", "PATOGENO")], []), (2, "sem", "ok", [("nada", "LOCAL"), ("x", "OUTRO")], None), (3, "", "ok", None, None)]
+    df = spark.createDataFrame(rows, "linha int, texto string, status string, spans_silver array<struct<texto:string,tipo:string>>, spans_correto array<struct<texto:string,tipo:string>>")
+    got = {r["linha"]: (r["bio_tags"], [tuple(x) for x in r["spans"]]) for r in gold.build_gold(df).collect()}
+    assert got[1] == (["O", "B-LOCAL", "I-LOCAL", "O", "B-PATOGENO", "I-PATOGENO", "I-PATOGENO"], [("São Paulo", "LOCAL"), ("S . pneumoniae", "PATOGENO")])
+    assert got[2] == (["O"], []) and 3 not in got
