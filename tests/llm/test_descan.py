@@ -99,3 +99,18 @@ def test_copies_make_no_word(spark):
     u = spark.createDataFrame(right + misread, SCHEMA)
     got = {(r["texto_limpo"], *r["defeitos"]) for r in D.repaired(u, D.Damage(u)).collect()}
     assert got == {(t,) for _, _, _, t in right} | {("uma unidade de difusão", "caractere")}
+
+
+def test_breaks():
+    j = lambda lexicon: D.join_lines("o guarda-\nchuva preto", 3, 45, {}, lexicon)[0]
+    assert j({}) == "o guardachuva preto" and j({"guarda\nchuva": "guarda-chuva"}) == "o guarda-chuva preto"
+    assert D.breaks_of(["o guarda-", "BOLETIM 3", "chuva, preto", "fim"]) == {"guarda\nboletim", "guarda\nchuva", "guarda\nfim"}
+
+
+def test_vocabulary_decides_hyphens(spark):
+    rows = [("r", 1, "a", "um guarda-chuva e a suscetibilidade"), ("r", 1, "b", "o guarda-\nchuva"), ("r", 1, "c", "a suscet-\nibilidade"), ("r", 1, "d", "o guarda-\n• 1 •\nchuva")]
+    u = spark.createDataFrame(rows, SCHEMA)
+    damage = D.Damage(u)
+    for limit in (None, 0):
+        got = {r["chave"]: r["texto_limpo"] for r in D.repaired(u, damage, broadcast_limit=limit).collect()}
+        assert got == {"a": rows[0][3], "b": "o guarda-chuva", "c": "a suscetibilidade", "d": "o guarda-chuva"}
