@@ -77,6 +77,14 @@ def plain(text: str) -> str:
     return canonical_text(text) if AFFECTED_RE.search(text) else text
 
 
+def plain_texts(texts: pa.Array) -> pa.Array:
+    """``plain`` of each text of an array without nulls."""
+    affected = pc.match_substring_regex(texts, AFFECTED)
+    if not pc.any(affected).as_py():
+        return texts
+    return pc.replace_with_mask(texts, affected, pa.array([canonical_text(t) for t in texts.filter(affected).to_pylist()], pa.string()))
+
+
 def core(token: str) -> str:
     """A token in lower case, without the punctuation at its ends; signs that may be letters stay."""
     return token.strip(ENDS).lower()
@@ -179,7 +187,7 @@ def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held.clear()
 
     for b in batches:
-        held.append(token_counts(pa.array([plain(t) for t in b.column(0).to_pylist() if t is not None], pa.string())))
+        held.append(token_counts(plain_texts(b.column(0).drop_null())))
         if sum(map(len, held)) > 1_000_000:
             yield from out()
     yield from out()

@@ -5,8 +5,8 @@ hash, so half the hash evaluations make a signature of the same length. Bands of
 bucket keys; texts that share a bucket are compared exactly, word by word; groups are the connected
 components of the exact links.
 
-Equal texts (by their bag of words) are one node, so hot copies cost nothing. Bucket sizes are counted
-by a partial aggregation. In a bucket of at most PAIRED nodes all pairs are compared. A larger one is cut
+Equal texts (by their bag of words) are one node, so hot copies cost nothing. The members of bands are
+shuffled packed, many to a row; sizes of other buckets are counted by a partial aggregation. In a bucket of at most PAIRED nodes all pairs are compared. A larger one is cut
 into smaller buckets by an exact prefix filter: linked nodes share one of their first words, rare ones
 first. Where even such a bucket is large, every node is compared with the bucket's first, and only those
 not linked to it with all others. So a hot bucket of copies costs a pass over it, a hot bucket of texts
@@ -19,6 +19,9 @@ chance of (1 - (2/3)^3)^16 = 0.4 %; at 0.9 (0.82) it is 1 in 4 million.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import reduce
+from itertools import groupby
+from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
@@ -27,12 +30,15 @@ from pyspark.sql import functions as F
 
 from folhetim.llm.components import components
 from folhetim.llm.spread import Workspace, is_empty, small
-from folhetim.llm.wordsets import linked_pairs, starts_of, unpacked
+from folhetim.llm.wordsets import linked_pairs, packed, starts_of, unpacked
 
 PERMUTATIONS, ROWS = 24, 3
 PAIRED = 1000
 #: Words are ordered by how often they occur, counted in so many slots by hash: a table of fixed size.
 SLOTS = 1 << 18
+#: Members of bands go packed, in so many passes, in shards of about so many; a member is COLUMNS, the last two its word map. So many pairs are looked at at once.
+PASSES, SHARD_MEMBERS, PAIRS_AT_ONCE = 2, 250_000, 1_000_000
+COLUMNS = ("faixa", "no", "n", "baixa", "alta")
 
 
 def min_max_bands(flat: np.ndarray, starts: np.ndarray, permutations: int = PERMUTATIONS, rows: int = ROWS) -> np.ndarray:
@@ -213,11 +219,132 @@ def by_first_words(nodes: DataFrame, space: Workspace, share: float) -> Callable
     return refine
 
 
+# ---- pairs that share a band
+
+
+def in_shards(batches: Iterator[pa.RecordBatch], bands: slice, shards: int) -> Iterator[pa.RecordBatch]:
+    """``g`` and COLUMNS, packed: the members of ``bands``, a row for each shard that has some; a bucket is in one shard."""
+    held: list[np.ndarray] = []
+
+    def out() -> Iterator[pa.RecordBatch]:
+        rows = np.concatenate(held, axis=1)
+        held.clear()
+        shard = (rows[0].view(np.uint64) >> np.uint64(16)) % np.uint64(shards)
+        order, sizes = np.argsort(shard, kind="stable"), np.bincount(shard.astype(np.int64), minlength=shards)
+        there = np.flatnonzero(sizes)
+        yield pa.RecordBatch.from_arrays([pa.array(there, pa.int32()), *(packed(c[order], sizes[there]) for c in rows)], ["g", *COLUMNS])
+
+    for b in batches:
+        keys, widths = unpacked(b.column("faixas"))
+        if not len(keys):
+            continue
+        keys = keys.reshape(len(widths), -1)[:, bands]
+        no, n, *maps = (b.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("no", *MAP))
+        each = np.stack([no, n, maps[0] | maps[2], maps[1] | maps[3]])
+        held.append(np.concatenate([keys.reshape(1, -1), np.repeat(each, keys.shape[1], axis=1)]))
+        if sum(x.shape[1] for x in held) > SHARD_MEMBERS:
+            yield from out()
+    if held:
+        yield from out()
+
+
+def pairs_in_shard(rows: np.ndarray, share: float, ends: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs that may be linked of members in the order of their buckets, so many at a time; ``ends``: where each member's bucket ends."""
+    thousandths = round(share * 1000)
+    _, no, n, *maps = rows
+    later = ends - np.arange(len(no)) - 1
+    done = np.concatenate([[0], np.cumsum(later)])
+    at = 0
+    while at < len(no):
+        to = max(at + 1, int(np.searchsorted(done, done[at] + PAIRS_AT_ONCE, "right")) - 1)
+        x = np.repeat(np.arange(at, to), later[at:to])
+        y = np.arange(len(x)) - np.repeat(done[at:to] - done[at], later[at:to]) + x + 1
+        near = np.minimum(n[x], n[y]) * 1000 >= np.maximum(n[x], n[y]) * thousandths
+        x, y = x[near], y[near]
+        apart = sum(np.bitwise_count(m[x] ^ m[y]).astype(np.int64) for m in (maps[0].view(np.uint64), maps[1].view(np.uint64)))
+        near = ((n[x] + n[y] - apart) * 500 >= np.maximum(n[x], n[y]) * thousandths) & (no[x] != no[y])
+        x, y = no[x[near]], no[y[near]]
+        yield np.minimum(x, y), np.maximum(x, y)
+        at = to
+
+
+def band_pairs(nodes: DataFrame, space: Workspace, share: float, paired: int = PAIRED) -> tuple[DataFrame, DataFrame]:
+    """Pairs ``a, b`` of nodes that share a band of ``faixas`` and may be linked, once each; and ``faixa, no``, the members of larger buckets.
+
+    Members travel packed, a row for many of them, as there are 16 a node. The word map of a member is
+    folded to 128 bits; the filter is that of POSSIBLE.
+    """
+    spark = nodes.sparkSession
+    width = nodes.select((F.octet_length("faixas") / 8).cast("int").alias("w")).first()
+    width = width["w"] if width else PASSES
+    shards = max(4 * spark.sparkContext.defaultParallelism, nodes.count() * width // PASSES // SHARD_MEMBERS)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def out(faixa: np.ndarray | None, a: np.ndarray, b: np.ndarray | None) -> Iterator[pa.RecordBatch]:
+            none = pa.nulls(len(a), pa.int64())
+            if len(a):
+                yield pa.RecordBatch.from_arrays([none if faixa is None else pa.array(faixa), pa.array(a), none if b is None else pa.array(b)], ["faixa", "a", "b"])
+
+        def without_large(rows: np.ndarray, hot: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+            """The members in order of their buckets, the sizes of those, and whether they are large."""
+            rows = rows[:, np.argsort(rows[0], kind="stable")]
+            starts = np.flatnonzero(np.concatenate([[True], rows[0][1:] != rows[0][:-1]])[: rows.shape[1]])
+            sizes = np.diff(np.concatenate([starts, [rows.shape[1]]]))
+            return rows, sizes, (sizes > paired) | np.isin(rows[0][starts], hot)
+
+        def shard(parts: Iterator[np.ndarray]) -> Iterator[pa.RecordBatch]:
+            held, hot = [], np.empty(0, np.int64)
+            room = 4 * SHARD_MEMBERS
+            for part in parts:
+                held.append(part)
+                if sum(x.shape[1] for x in held) > room:  # the members of large buckets needn't be held
+                    rows, sizes, large = without_large(np.concatenate(held, axis=1), hot)
+                    of_large = np.repeat(large, sizes)
+                    hot = np.union1d(hot, rows[0][of_large])
+                    yield from out(rows[0][of_large], rows[1][of_large], None)
+                    held = [rows[:, ~of_large]]
+                    room = max(room, 2 * held[0].shape[1])
+            rows, sizes, large = without_large(np.concatenate(held, axis=1), hot)
+            of_large = np.repeat(large, sizes)
+            yield from out(rows[0][of_large], rows[1][of_large], None)
+            several = np.repeat((sizes > 1) & ~large, sizes)
+            sizes = sizes[(sizes > 1) & ~large]
+            for a, b in pairs_in_shard(rows[:, several], share, np.repeat(np.cumsum(sizes), sizes)):
+                yield from out(None, a, b)
+
+        def parts() -> Iterator[tuple[int, np.ndarray]]:
+            for b in batches:
+                columns = [unpacked(b.column(c)) for c in COLUMNS]
+                ends = np.cumsum(columns[0][1])
+                rows = np.stack([x for x, _ in columns])
+                for g, start, end in zip(b.column("g").to_pylist(), [0, *ends[:-1].tolist()], ends.tolist()):
+                    yield g, rows[:, start:end]
+
+        for _, own in groupby(parts(), itemgetter(0)):
+            yield from shard(x for _, x in own)
+
+    found = []
+    for k in range(PASSES):  # not all bands at once, for the disk
+        bands = slice(k * width // PASSES, (k + 1) * width // PASSES)
+        members = nodes.select("no", *MAP, "faixas").mapInArrow(lambda it, bands=bands: in_shards(it, bands, shards), "g int, " + ", ".join(f"{c} binary" for c in COLUMNS))
+        found.append(space.write(members.repartition("g").sortWithinPartitions("g").mapInArrow(run, "faixa long, a long, b long")))
+    every = reduce(DataFrame.union, found)
+    pairs = space.write(every.where("b is not null").select("a", "b").distinct())
+    large = space.write(every.where("b is null").select("faixa", F.col("a").alias("no")))
+    space.drop(*found)
+    return pairs, large
+
+
 def copy_links(nodes: DataFrame, space: Workspace, share: float = 0.8, paired: int = PAIRED) -> DataFrame:
-    """``a, b``: links between nodes that share a band of ``faixas``."""
-    each = nodes.select("no", *MAP, "faixas", F.expr("explode(sequence(0, cast(octet_length(faixas) div 8 - 1 as int)))").alias("k"))
-    members = each.select("no", *MAP, F.expr("xxhash64(k, substring(faixas, 8 * k + 1, 8))").alias("faixa"))
-    return bucket_links(members, nodes, space, share, paired, refine=by_first_words(nodes, space, share))
+    """``a, b``: links between nodes that share a band of ``faixas``, all that the components need."""
+    pairs, large = band_pairs(nodes, space, share, paired)
+    if is_empty(large):
+        return verified(pairs, nodes, space, share)
+    cut = space.write(by_first_words(nodes, space, share)(large))
+    rest, known = candidates(cut, nodes, space, share, paired)
+    links = verified(pairs.union(rest).distinct(), nodes, space, share)
+    space.drop(cut, rest, pairs, large)
+    return links if known is None else links.union(known)
 
 
 # ---- records and nodes

@@ -18,11 +18,15 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folhetim.llm.descan import ENDS, FIGURES_RE, Damage, Fixer, join_lines, over_texts, plain
+from folhetim.llm.descan import ENDS, Damage, Fixer, join_lines, over_texts, plain_texts
 
 #: A record: its bag's 128-bit print, size, a map of 256 bits with the bit of each word set, and the bag, packed.
 RECORD = "chave string, impressao binary, n int, m0 long, m1 long, m2 long, m3 long, palavras binary"
 
+#: A word with a letter or a figure at either end; one that ``fix_word`` may change without the lexicon.
+WHOLE = r"^[\p{L}\p{N}](?s:.*[\p{L}\p{N}])?$"
+MAY_BE_MISREAD = r"[@€†¢]|^\D{2,}[01569!|]\D{2,}$"
+
 
 def bare(token: str) -> str:
     """A token in lower case, without punctuation and symbols at its ends."""
@@ -41,26 +45,36 @@ def words(text: str) -> list[str]:
 def word_hashes(tokens: pa.Array, fixer: Fixer | None = None) -> np.ndarray:
     """The hashes of the words that tokens are, put right by ``fixer``; 0 where no word is left."""
     words = pc.utf8_trim(tokens, characters=ENDS)
-    # of letters or of figures alone, a word is bare, and nothing but the lexicon can change it
-    simple = pc.or_(pc.utf8_is_alpha(words), pc.match_substring_regex(words, FIGURES_RE.pattern.join("^$")))
-    words = pc.utf8_lower(words).to_numpy(zero_copy_only=False)
-    odd = pc.invert(simple)
+    # with letters or figures at its ends a word is bare; nothing but the lexicon can change one without a sign or a single figure among letters
+    odd = pc.invert(pc.match_substring_regex(words, WHOLE))
+    words = pc.utf8_lower(words)
+    fixable = pc.and_(odd, pc.invert(odd)) if fixer is None else pc.match_substring_regex(words, MAY_BE_MISREAD)
     if fixer is not None and fixer.keys_in_arrow is not None:
-        odd = pc.or_(odd, pc.is_in(pa.array(words, pa.string()), value_set=fixer.keys_in_arrow))
-    for i, token in zip(np.flatnonzero(odd.to_numpy(zero_copy_only=False)), tokens.filter(odd).to_pylist()):
-        fixed = fixer.worked_out(token) if fixer is not None else None
+        fixable = pc.or_(fixable, pc.is_in(words, value_set=fixer.keys_in_arrow))
+    odd = pc.or_(odd, fixable)
+    words = words.to_numpy(zero_copy_only=False)
+    for i, token, may in zip(np.flatnonzero(odd.to_numpy(zero_copy_only=False)), tokens.filter(odd).to_pylist(), fixable.filter(odd).to_pylist()):
+        fixed = fixer.worked_out(token) if may else None
         words[i] = bare(fixed[0] if fixed else token)
-    return np.where(words == "", 0, pd.util.hash_array(words, categorize=False).view(np.int64))
+    hashes = pd.util.hash_array(words, categorize=False).view(np.int64)
+    hashes[pc.equal(pc.binary_length(pa.array(words, pa.string())), 0).to_numpy(zero_copy_only=False)] = 0
+    return hashes
 
 
 def bags_of(texts: list[str], fixer: Fixer | None = None) -> tuple[np.ndarray, np.ndarray]:
     """The bags of texts, one after the other, and how many words each has."""
     split = pc.utf8_split_whitespace(pa.array(texts, pa.string()))
     tokens = split.flatten().dictionary_encode()
-    flat = word_hashes(tokens.dictionary, fixer)[tokens.indices.to_numpy(zero_copy_only=False)] if len(tokens) else np.empty(0, np.int64)
-    row = np.repeat(np.arange(len(texts)), split.value_lengths().to_numpy(zero_copy_only=False))[flat != 0]
-    sizes = np.bincount(row, minlength=len(texts))
-    return told_apart(flat[flat != 0], sizes), sizes
+    if not len(tokens):
+        return np.empty(0, np.int64), np.zeros(len(texts), np.int64)
+    hashes, place = np.unique(word_hashes(tokens.dictionary, fixer), return_inverse=True)
+    # one number for text and word, the words in the order of their hashes
+    both = np.repeat(np.arange(len(texts)) << 32, split.value_lengths().to_numpy(zero_copy_only=False)) | place[tokens.indices.to_numpy(zero_copy_only=False)]
+    if len(none := np.flatnonzero(hashes == 0)):
+        both = both[both & 0xFFFFFFFF != none[0]]
+    both.sort()
+    sizes = np.bincount(both >> 32, minlength=len(texts))
+    return told_apart(hashes[both & 0xFFFFFFFF], sizes), sizes
 
 
 def bag(text: str) -> np.ndarray:
@@ -72,9 +86,9 @@ def starts_of(sizes: np.ndarray) -> np.ndarray:
 
 
 def told_apart(flat: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    """The words of each text in the order of their hashes, the k-th occurrence of a word mixed with k."""
+    """The words of each text, in the order of their hashes as given, the k-th occurrence of a word mixed with k."""
     row = np.repeat(np.arange(len(sizes)), sizes)
-    out = flat[np.lexsort((flat, row))].view(np.uint64)
+    out = flat.view(np.uint64)
     fresh = np.ones(len(out), bool)
     fresh[1:] = (out[1:] != out[:-1]) | (row[1:] != row[:-1])
     at = np.arange(len(out))
@@ -130,7 +144,8 @@ def bags(units: DataFrame, damage: Damage, least: int, signature: Callable | Non
             # the repair joins words, it makes no more of them
             long = [i for i, t in enumerate(texts) if len(t.split()) >= least]
             needs = [mend(i) for i in long]
-            whole = [join_lines(plain(texts[i]), page, last, header, fixer.lexicon)[0] for i, (page, last, header, fixer) in zip(long, needs)]
+            ones = plain_texts(pa.array([texts[i] for i in long], pa.string())).to_pylist()
+            whole = [join_lines(t, page, last, header, fixer.lexicon)[0] for t, (page, last, header, fixer) in zip(ones, needs)]
             if needs and not needs[0][3].shared:
                 found = [bags_of([t], need[3]) for t, need in zip(whole, needs)]
                 flat, sizes = (np.concatenate(x) for x in zip(*found))

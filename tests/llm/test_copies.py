@@ -3,9 +3,11 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
-from folhetim.llm import components, nearcopies, overlap, wordsets
+from folhetim.llm import components, descan, nearcopies, overlap, wordsets
+from folhetim.llm.spread import Workspace
 
 RECORD = wordsets.RECORD + ", faixas binary"
 
@@ -101,3 +103,47 @@ def test_components(spark):
     got = {r["no"]: r["classe"] for r in components.components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {**dict.fromkeys(range(41), 0), 100: 100, 101: 100, 102: 100}
     assert components.components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def shuffled_rows(spark):
+    store, gateway = spark._jsc.sc().statusStore(), spark.sparkContext._gateway
+    stages = store.stageList(None, False, False, gateway.new_array(gateway.jvm.double, 0), gateway.jvm.java.util.ArrayList())
+    return sum(stages.apply(i).shuffleWriteRecords() for i in range(stages.size()))
+
+
+@pytest.mark.parametrize("paired, held", [(50, 250_000), (5, 20)])
+def test_bands_travel_packed(spark, monkeypatch, paired, held):
+    monkeypatch.setattr(nearcopies, "SHARD_MEMBERS", held)
+    rows = texts(4, families=200, hot=30)
+    different = {record("", t)[1]: record("", t) for t in rows.values()}
+    nodes = [(no, *r) for no, r in enumerate(different.values())]
+    space = Workspace(spark)
+    df = space.write(spark.createDataFrame(nodes, "no long, " + RECORD))
+    bags = {r[0]: set(np.frombuffer(r[8], np.int64).tolist()) for r in nodes}
+    bands = {r[0]: set(np.frombuffer(r[9], np.int64).tolist()) for r in nodes}
+    linked = {(a, b) for a in bags for b in bags if a < b and bands[a] & bands[b] and 5 * len(bags[a] & bags[b]) >= 4 * max(len(bags[a]), len(bags[b]))}
+    before = shuffled_rows(spark)
+    pairs, large = nearcopies.band_pairs(df, space, 0.8, paired)
+    if held > 1000:
+        assert shuffled_rows(spark) - before < 4 * len(nodes)  # of 16 bands each, and their pairs
+    pairs = [tuple(r) for r in pairs.collect()]
+    members = {}
+    for f, no in large.collect():
+        members.setdefault(f, []).append(no)
+    sizes = {}
+    for no, fs in bands.items():
+        for f in fs:
+            sizes.setdefault(f, []).append(no)
+    assert {f: sorted(m) for f, m in members.items()} == {f: sorted(m) for f, m in sizes.items() if len(m) > paired}
+    in_few = {(a, b) for m in sizes.values() if len(m) <= paired for a in m for b in m if a < b}
+    assert len(pairs) == len(set(pairs)) and linked & in_few <= set(pairs) <= in_few
+
+
+def test_repair_of_arrays():
+    texts = ["situação", "p1ano  Αno", "", "época", "a b\nc"]
+    assert descan.plain_texts(pa.array(texts)).to_pylist() == [descan.plain(t) for t in texts]
+    assert descan.plain_texts(pa.array([], pa.string())).to_pylist() == []
+    fixer = descan.Fixer({"sorotlpo": "sorotipo"}, True)
+    text = "sorotlpo, ab1cd x@yz (%5%) a-b a²b --- ab1cd"
+    want = wordsets.bag("sorotipo ablcd xayz 5 a-b a²b ablcd")
+    assert wordsets.bags_of([text, "", text], fixer)[0].tolist() == [*want.tolist(), *want.tolist()]
