@@ -42,7 +42,9 @@ LOST = r"\ufffd|\p{L}\?+\p{L}|[\x80-\x9f]"
 ADDRESS_RE = re.compile(r"\S*(?:://|www\.|[?&]\w+=)\S*")
 LOST_RE = re.compile("\ufffd|[^\\W\\d_]\\?+[^\\W\\d_]|[\x80-\x9f]")
 SUSPECT_RE = re.compile(SUSPECT)
-RUN_RE = re.compile(r"[^\x00-\x7f]+")
+RUN_RE = re.compile(r"([^\x00-\x7f]+)")
+#: A worker remembers what so many runs of non-ASCII characters become, if they have so few characters.
+REMEMBERED, SHORT = 100_000, 16
 
 
 @lru_cache(1)
@@ -71,16 +73,23 @@ def is_lost(text: str) -> bool:
     return bool(LOST_RE.search(text)) and bool(LOST_RE.search(ADDRESS_RE.sub(" ", text)))
 
 
-def undo(text: str, read_as: str, was: str) -> str:
-    """``text`` with each run of non-ASCII characters decoded anew where that can be done."""
+def undone(run: str, read_as: str, was: str) -> str:
+    """A run of non-ASCII characters decoded anew; the run itself where that can't be done."""
+    try:
+        return to_bytes(run, read_as).decode(was)
+    except (ValueError, UnicodeError):
+        return run
+
+
+remembered = lru_cache(REMEMBERED)(undone)
 
-    def one(m: re.Match) -> str:
-        try:
-            return to_bytes(m.group(), read_as).decode(was)
-        except (ValueError, UnicodeError):
-            return m.group()
 
-    return RUN_RE.sub(one, text)
+def undo(pieces: list[str], read_as: str, was: str) -> str | None:
+    """A text, cut before and after its runs of non-ASCII characters, with each run decoded anew where that can be done; None where no run changes."""
+    runs = {r: new for r in {*pieces[1::2]} if (new := (remembered if len(r) <= SHORT else undone)(r, read_as, was)) != r}
+    if not runs:
+        return None
+    return "".join([runs.get(x, x) if i % 2 else x for i, x in enumerate(pieces)])
 
 
 def candidates(text: str, steps: int = STEPS) -> dict[str, tuple[str, ...]]:
@@ -95,9 +104,10 @@ def candidates(text: str, steps: int = STEPS) -> dict[str, tuple[str, ...]]:
             options = [(c, "utf-8") for c in READ_AS_UTF8]
             if t == text:
                 options += [(c, "cp1252") for c in READ_AS_WESTERN]
+            pieces = RUN_RE.split(t)
             for read_as, was in options:
-                new = undo(t, read_as, was)
-                if new not in found:
+                new = undo(pieces, read_as, was)
+                if new is not None and new not in found:
                     found[new] = (*found[t], f"{was}>{read_as}")
                     ahead.append(new)
         front = ahead
@@ -115,26 +125,27 @@ class Restorer:
         tools = [self.by_language[language]] if language in self.by_language else list(self.by_language.values())
         return min((len(t.compress(raw)) for t in tools), default=len(raw))
 
-    def line(self, text: str, language: str | None, used: frozenset = frozenset()) -> tuple[str, tuple[str, ...]]:
-        """The line by its best chain; a chain that the document has ``used`` already costs nothing."""
-        if not SUSPECT_RE.search(text):
-            return text, ()
-        options = candidates(text)
-        if len(options) == 1:
-            return text, ()
-        return min(options.items(), key=lambda o: (self.cost(o[0], language) + (0 if o[1] in used else STEP_BYTES * len(o[1])), o[1] not in used, len(o[1]), o[0]))
+    def weighed(self, text: str, language: str | None) -> list[tuple[str, tuple[str, ...], int]]:
+        """What a line may be, by which chain, and the description length without the chain's."""
+        options = candidates(text) if SUSPECT_RE.search(text) else {text: ()}
+        return [(t, c, self.cost(t, language) if len(options) > 1 else 0) for t, c in options.items()]
 
     def document(self, text: str, language: str | None) -> tuple[str, str, bool]:
         """The restored text, the chains used, and whether some of it is lost for good."""
-        lines = text.split("\n")
-        done = [self.line(s, language) for s in lines]
+        lines = [self.weighed(s, language) for s in text.split("\n")]
+        done = [best(x) for x in lines]
         if used := frozenset(c for _, c in done if c):
-            done = [self.line(s, language, used) for s in lines]
+            done = [best(x, used) for x in lines]
         chains = sorted({"+".join(c) for _, c in done if c})
         whole = "\n".join(s for s, _ in done)
         return whole, " | ".join(chains), is_lost(whole)
 
 
+def best(options: list[tuple[str, tuple[str, ...], int]], used: frozenset = frozenset()) -> tuple[str, tuple[str, ...]]:
+    """The line by its best chain; a chain that the document has ``used`` already costs nothing."""
+    return min(options, key=lambda o: (o[2] + (0 if o[1] in used else STEP_BYTES * len(o[1])), o[1] not in used, len(o[1]), o[0]))[:2]
+
+
 def dictionaries(documents: DataFrame, key: str, text: str, language: str, sample: int = SAMPLE) -> dict[str, bytes]:
     """A dictionary per language of a bounded sample; clean texts alone go in, whole.
 

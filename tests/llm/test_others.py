@@ -164,3 +164,22 @@ def test_encodings(spark):
 
 def encodings_twice(text):
     return text.encode().decode("latin-1").encode().decode("latin-1")
+
+
+def test_runs_are_decoded_once(monkeypatch):
+    calls = Counter()
+    to_bytes = encodings.to_bytes
+
+    def counted(run, codec):
+        calls[run, codec] += 1
+        return to_bytes(run, codec)
+
+    monkeypatch.setattr(encodings, "to_bytes", counted)
+    encodings.remembered.cache_clear()
+    restorer = encodings.Restorer({"pt": TEXT.encode() * 20})
+    wrong = "\n".join(f"{k}: {t}" for k, t in enumerate([TEXT.encode().decode("latin-1"), encodings_twice(TEXT), TEXT] * 30))
+    right = "\n".join(f"{k}: {TEXT}" for k in range(90))
+    assert restorer.document(wrong, "pt")[::2] == (right, False)
+    assert max(calls.values()) <= 2  # read as either of two encodings
+    long = "ж" * 40
+    assert encodings.candidates(f"a {long} b")[f"a {long} b"] == () and encodings.undo(["a"], "windows", "utf-8") is None
